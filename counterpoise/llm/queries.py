@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import mpegts, packing
+from counterpoise.llm import langid, mpegts, packing
 from counterpoise.llm.common import table
 
 
@@ -24,9 +24,14 @@ def op6_mpeg_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_mpeg_transport": op6_mpeg_transport,
+    "op7_kneser_ney": op7_kneser_ney,
 }
 
 ORACLES: dict[str, str] = {}
