@@ -199,7 +199,7 @@ def _score(df: DataFrame, model: KneserNey, text_col: str, names: tuple[str, str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, None
         for batch in batches:
-            memo = memo or (WordMemo(model) if model.langs else None)
+            memo = WordMemo(model) if memo is None and model.langs else memo
             for begin, texts in slices(batch.column(at).to_pylist()):
                 if memo is None:
                     langs, score, low, odd = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import langid, mpegts, packing
+from counterpoise.llm import langid, mpegts, packing, toxicity
 from counterpoise.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_convolutional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -29,6 +33,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_convolutional": op1_convolutional,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_mpeg_transport": op6_mpeg_transport,
     "op7_kneser_ney": op7_kneser_ney,
