@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import langid, mpegts, neardup, packing, toxicity
+from counterpoise.llm import langid, mpegts, neardup, packing, passages, toxicity
 from counterpoise.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.document_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_convolutional": op1_convolutional,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_hashing": op4_line_hashing,
     "op5_prob_min_hash": op5_prob_min_hash,
     "op6_mpeg_transport": op6_mpeg_transport,
     "op7_kneser_ney": op7_kneser_ney,
