@@ -153,7 +153,7 @@ class WordMemo(dict):
         self.model, self.rows = model, np.zeros((1024, len(model.langs) + 1), np.float64)
 
     def learn(self, parts: set[str]) -> None:
-        new = list(parts - self.keys())
+        new = [p for p in parts if p not in self]
         if len(self) + len(new) > MEMO:
             self.clear()
             new = list(parts)

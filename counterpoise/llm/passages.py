@@ -121,8 +121,10 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
                 new = np.ones(len(of), bool)
                 new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
                 head = np.maximum.accumulate(np.where(new, np.arange(len(of)), 0)) if len(of) else np.zeros(0, np.int64)
-                # What overlaps its own first occurrence is part of it.
+                # What overlaps its own first occurrence is part of it, and goes only where that goes.
                 overlaps = ~new & (of == of[head]) & (start < end[head])
+                end = end.copy()
+                np.maximum.at(end, head[overlaps], end[overlaps])
                 keep = ~overlaps
                 of, d1, d2, start, end, new = of[keep], d1[keep], d2[keep], start[keep], end[keep], new[keep]
                 kind = np.where(new, OPEN, REPEAT)

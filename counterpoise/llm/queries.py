@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import langid, mpegts, neardup, packing, passages, toxicity
+from counterpoise.llm import langid, lines, mpegts, neardup, packing, passages, toxicity
 from counterpoise.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_convolutional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.document_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,6 +46,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_convolutional": op1_convolutional,
+    "op2_deletion_neighbourhood": op2_deletion_neighbourhood,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_hashing": op4_line_hashing,
     "op5_prob_min_hash": op5_prob_min_hash,
@@ -49,4 +54,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_kneser_ney": op7_kneser_ney,
 }
 
-ORACLES: dict[str, str] = {}
+LINES_SQL = """
+WITH l AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents
+), n AS (
+    SELECT doc_id, i, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS t FROM l
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k, length(t) AS c FROM n WHERE length(t) >= 20
+), d AS (SELECT * FROM r WHERE k = 1),
+p AS (
+    SELECT b.doc_id, b.i, a.doc_id AS od, a.i AS oi, a.t AS ot, b.t AS bt FROM d a JOIN d b ON a.c = b.c AND left(a.t, a.c // 2) = left(b.t, b.c // 2) AND a.t <> b.t
+    UNION ALL SELECT b.doc_id, b.i, a.doc_id, a.i, a.t, b.t FROM d a JOIN d b ON a.c = b.c AND right(a.t, a.c - a.c // 2) = right(b.t, b.c - b.c // 2) AND a.t <> b.t
+    UNION ALL SELECT b.doc_id, b.i, a.doc_id, a.i, a.t, b.t FROM d a JOIN d b ON b.c = a.c + 1 AND left(a.t, a.c // 2) = left(b.t, (b.c - 1) // 2)
+    UNION ALL SELECT b.doc_id, b.i, a.doc_id, a.i, a.t, b.t FROM d a JOIN d b ON b.c = a.c + 1 AND right(a.t, a.c - a.c // 2) = right(b.t, b.c - 1 - (b.c - 1) // 2)
+), e AS (SELECT * FROM p WHERE levenshtein(ot, bt) <= 1),
+near AS (
+    SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i, od, oi FROM e UNION ALL SELECT od, oi, doc_id, i FROM e) WHERE (od, oi) < (doc_id, i)
+), gone AS (SELECT doc_id, i, 1 AS x, 0 AS y FROM r WHERE k > 1 UNION ALL SELECT doc_id, i, 0, 1 FROM near),
+g AS (SELECT doc_id, sum(x) AS n_exact, sum(y) AS n_near, string_agg(i::VARCHAR, ',' ORDER BY i) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_deletion_neighbourhood": LINES_SQL}

@@ -88,7 +88,7 @@ class WordMemo(dict):
         self.net, self.table, self.held = net, np.zeros((4096, BLOCKS * FILTERS + len(net.langs)), np.float32), 1
 
     def learn(self, parts: set[str]) -> None:
-        new = list(parts - self.keys())
+        new = [p for p in parts if p not in self]
         if len(self) + len(new) > MEMO:
             self.clear()
             self.held, new = 1, list(parts)
