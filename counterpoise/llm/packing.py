@@ -11,12 +11,13 @@ repetitions). Executors then deal every piece to a slot by its rank among the pi
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,48 +27,93 @@ from counterpoise.llm.common import fresh, materialize, q, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries a worker's token memo may hold before it is emptied.
-MEMO = 500_000
+#: Entries a worker's token memo may hold before it sheds what it didn't use of late.
+MEMO = 700_000
+MARKS = ".,;:!?"
+CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 # ---------------------------------------------------------------- token pieces
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class TokenMemo(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of what stands between white space.
 
     The tokenizer drops white space and never joins what it parts, so the ids of a text are those
-    of its parts in order. Control characters that Python takes for white space and the tokenizer
-    doesn't, and texts with a special token's string, go through the tokenizer whole.
+    of its parts in order; likewise those of letters and of the sentence marks behind them. Control
+    characters that Python takes for white space and the tokenizer doesn't, and texts with a special
+    token's string, go through the tokenizer whole. Texts of plain Latin letters are lower-cased
+    first, as the tokenizer would do. When the memo is full, what was used since the last time stays.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+        self.beyond = re.compile("[^\x00-\u012f\u0131-\u024f]").search
+        self.model, self.as_bytes = self.tokenizer.model, str.maketrans(_byte_letters())
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        got = self[part] = self.whole(part)
-        return got
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, text: str) -> bool:
+        """Whether lower case and composed form are the tokenizer's: no letter beyond the Latin ones, no dotted capital I."""
+        if text.isascii():
+            return True
+        try:
+            return bool(text.encode("latin-1")) or True
+        except UnicodeEncodeError:
+            return not self.beyond(text)
+
+    def word(self, word: str) -> bytes:
+        """Of a lower-case run of Latin letters, which the tokenizer keeps together: straight from its merges."""
+        tokens = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.as_bytes))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        new = list(parts - self.keys())
-        if len(self) + len(new) > MEMO:
+        missing = {p for p in parts if p not in self}
+        if len(self) + len(missing) > MEMO:
+            self.old = dict(self)
             self.clear()
-            new = list(parts)
+            missing = parts
+        new, split = [], []
+        wanted: set[str] = set()
+        for part in missing:
+            if (got := self.old.get(part)) is not None:
+                self[part] = got
+            elif part[-1] in MARKS and (stem := part.rstrip(MARKS)).isalpha():
+                split.append((part, stem, part[len(stem) :]))
+                wanted.update(split[-1][1:])
+            else:
+                new.append(part)
+        for stem in [w for w in wanted if w not in self]:
+            if (got := self.old.get(stem)) is not None:
+                self[stem] = got
+            elif stem not in missing:
+                new.append(stem)
+        words = [w for w in new if w.isalpha() and w.islower() and not self.beyond(w)]
+        for w in words:
+            self[w] = self.word(w)
+        new = [w for w in new if w not in self]
         for k in range(0, len(new), 4096):
             run = new[k : k + 4096]
             for part, got in zip(run, self.tokenizer.encode_batch_fast(run, add_special_tokens=False), strict=True):
-                self[part] = np.array(got.ids, dtype="<u4").tobytes()
+                self[part] = array("I", got.ids).tobytes()
+        for part, stem, tail in split:
+            self[part] = self[stem] + self[tail]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if len(t.translate(self.odd)) != len(t) or any(s in t for s in self.specials) else t.split() for t in texts]
+        split = [None if any(c in t for c in CONTROLS) or any(s in t for s in self.specials) else (t.lower() if self.plain(t) else t).split() for t in texts]
         self.learn({w for words in split if words for w in words})
         return [self.whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
@@ -205,7 +251,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, least: int,
     return [f for _, f in found[:most]]
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_000) -> Packing:
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3_000) -> Packing:
     """Fillings and repetitions that hold all of ``counts``, in as few bins as the search finds.
 
     Optimal when it meets ``lower_bound`` or when the search ends within ``nodes`` steps.
@@ -217,37 +263,54 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6_00
     n_best, bound = sum(n for _, n in best), lower_bound(counts, capacity)
     total, spent = sum(k * n for k, n in counts.items()), 0
 
-    def search(left: dict[int, int], lengths: list[int], used: int, waste: int, path: Packing) -> None:
+    def search() -> None:
+        """Depth first, undoing each step on the way back, so that one copy of the counts is held."""
         nonlocal best, n_best, spent
-        stack = [(left, lengths, used, waste, path)]
-        while stack and n_best > bound and spent < nodes:
-            left, lengths, used, waste, path = stack.pop()
+        left, used, waste = dict(counts), 0, 0
+        path: Packing = []
+        frames: list[Iterator[tuple[int, ...]]] = []
+
+        def enter() -> Iterator[tuple[int, ...]]:
+            nonlocal best, n_best, spent
             spent += 1
+            lengths = sorted(k for k, n in left.items() if n)
             if not lengths:
                 if used < n_best:
-                    best, n_best = path, used
-                continue
+                    best, n_best = list(path), used
+                return iter(())
             may = (n_best - 1) * capacity - total - waste
             if may < 0 or used + lower_bound_fast(left, capacity) >= n_best:
-                continue
+                return iter(())
             big = lengths[-1]
-            rest = dict(left)
-            rest[big] -= 1
-            options = fillings([k for k in lengths if rest[k]], rest, capacity - big, max(0, capacity - big - may), 6)
-            for filling in reversed(options):
-                bin_ = (big, *filling)
-                uses = {k: bin_.count(k) for k in {*bin_}}
-                times = min(left[k] // u for k, u in uses.items())
-                lost = capacity - sum(bin_)
-                if lost:
-                    times = min(times, max(1, may // lost))
-                after = dict(left)
-                for k, u in uses.items():
-                    after[k] -= u * times
-                stack.append((after, [k for k in lengths if after[k]], used + times, waste + lost * times, [*path, (bin_, times)]))
+            left[big] -= 1
+            options = fillings([k for k in lengths if left[k]], left, capacity - big, max(0, capacity - big - may), 6)
+            left[big] += 1
+            return iter([(big, *f) for f in options])
+
+        frames.append(enter())
+        while frames and n_best > bound and spent < nodes:
+            bin_ = next(frames[-1], None)
+            if bin_ is None:
+                frames.pop()
+                if path:
+                    undone, times = path.pop()
+                    used -= times
+                    waste -= (capacity - sum(undone)) * times
+                    for k in undone:
+                        left[k] += times
+                continue
+            times = min(left[k] // bin_.count(k) for k in {*bin_})
+            if lost := capacity - sum(bin_):
+                times = min(times, max(1, ((n_best - 1) * capacity - total - waste) // lost))
+            path.append((bin_, times))
+            used += times
+            waste += lost * times
+            for k in bin_:
+                left[k] -= times
+            frames.append(enter())
 
     if n_best > bound:
-        search(counts, sorted(counts), 0, 0, [])
+        search()
     return best
 
 
