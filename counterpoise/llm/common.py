@@ -35,6 +35,15 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a few numbers that a join may send to every executor; beyond it both sides are exchanged.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcasting if a count shows that it has at most ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no learner may see: crc32 of the id's text, mod 4, is 2. A null id is in no fold: false."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

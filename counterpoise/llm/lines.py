@@ -26,12 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import materialize, slices
+from counterpoise.llm.common import materialize, slices, small
 from counterpoise.llm.shingles import GOLD, _power_tables, mix
 
 MIN_CHARS, SLICE = 20, 1 << 21
-#: The most rows of 24 bytes that a join may send to every executor; beyond it both sides are exchanged.
-BROADCAST_ROWS = 400_000
 _U = np.uint64
 TEXT, OPEN, REPEAT = 0, 1, 2
 SUBSTITUTE, WHOLE, DELETE = 0, 1, 2
@@ -179,11 +177,6 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
     return lines.select("none", "id", "uid", "line", "norm", "shared").mapInArrow(run, schema)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcasting if it is small enough at any width of its three columns."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each row of ``docs``: uid, id, n_lines, exact and near, the numbers (from 0) of the lines that go.
 
@@ -197,7 +190,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = firsts.where("n = 1").select("uid", "line", F.posexplode("halves").alias("place", "half"))
     shared_keys = lines.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half")
     sharing = materialize(lines.join(shared_keys, "half").groupBy("uid", "line").agg(F.collect_set("place").alias("shared")), "sharing")
-    texts = materialize(rows.where(F.col("kind") == OPEN).select(F.col("id").isNull().alias("none"), "id", "uid", "line", "norm").join(_small(sharing), ["uid", "line"]), "texts")
+    texts = materialize(rows.where(F.col("kind") == OPEN).select(F.col("id").isNull().alias("none"), "id", "uid", "line", "norm").join(small(sharing), ["uid", "line"]), "texts")
     met = materialize(_variant_rows(texts), "variants")
     own = F.struct("none", "id", "uid", "line")
     least = lambda role: F.min(F.when(F.col("role") == role, own))

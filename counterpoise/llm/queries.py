@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import langid, lines, mpegts, neardup, packing, passages, toxicity
+from counterpoise.llm import decontaminate, langid, lines, mpegts, neardup, packing, passages, toxicity
 from counterpoise.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_convolutional": op1_convolutional,
     "op2_deletion_neighbourhood": op2_deletion_neighbourhood,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_prob_min_hash": op5_prob_min_hash,
     "op6_mpeg_transport": op6_mpeg_transport,
     "op7_kneser_ney": op7_kneser_ney,
+    "op9_prefix_filter": op9_prefix_filter,
 }
 
 LINES_SQL = """
@@ -76,4 +81,19 @@ SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_deletion_neighbourhood": LINES_SQL}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATE_SQL = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, list_slice(w, s, least(s + 9, len(w))) AS w FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT len(w) AS n FROM bw),
+dw AS (SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS w FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT doc_id, s, n, item FROM dw JOIN bw USING (w)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_prefix_filter": DECONTAMINATE_SQL, "op2_deletion_neighbourhood": LINES_SQL}
