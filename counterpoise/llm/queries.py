@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import decontaminate, langid, lines, mpegts, neardup, packing, passages, toxicity
+from counterpoise.llm import decontaminate, langid, lines, mpegts, neardup, packing, passages, pii, toxicity
 from counterpoise.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.document_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_gradient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.document_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_convolutional": op1_convolutional,
     "op2_deletion_neighbourhood": op2_deletion_neighbourhood,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mpeg_transport": op6_mpeg_transport,
     "op7_kneser_ney": op7_kneser_ney,
     "op9_prefix_filter": op9_prefix_filter,
+    "op10_gradient_boosting": op10_gradient_boosting,
 }
 
 LINES_SQL = """
