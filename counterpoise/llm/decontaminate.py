@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.llm.common import materialize, small
+from counterpoise.llm.common import fresh, materialize, small
 
 WINDOW = 10
 #: What parts words, once A-Z are lower case.
@@ -83,5 +83,6 @@ def document_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with their own columns. ``docs`` must be a stored table, read in the same order each time."""
-    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("uid").alias("_leak_uid"))
-    return docs.withColumn("_leak_uid", F.monotonically_increasing_id()).join(small(materialize(bad, "leaks")), "_leak_uid", "left_anti").drop("_leak_uid")
+    uid = fresh(docs, "_uid")["_uid"]
+    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("uid").alias(uid))
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(small(materialize(bad, "leaks")), uid, "left_anti").select(*docs.columns)

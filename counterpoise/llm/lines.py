@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import materialize, slices, small
+from counterpoise.llm.common import fresh, materialize, slices, small
 from counterpoise.llm.shingles import GOLD, _power_tables, mix
 
 MIN_CHARS, SLICE = 20, 1 << 21
@@ -218,14 +218,16 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.concat_ws(",", F.sort_array(F.concat("exact", "near")).cast("array<string>")).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines. A document that had a counted line and keeps nothing but blank lines goes.
 
     ``docs`` must be a stored table, which gives its rows in the same order each time.
     """
-    found = repeated_lines(docs, text_col=text_col).select("uid", F.concat("exact", "near").alias("_gone")).where(F.size("_gone") > 0)
-    joined = docs.withColumn("uid", F.monotonically_increasing_id()).join(found, "uid", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    out = joined.withColumn(text_col, text).where(F.col("_gone").isNull() | (F.length(F.trim(F.translate(F.col(text_col), "\n\t\r", ""))) > 0))
+    n = fresh(docs, "_uid", "_gone")
+    found = repeated_lines(docs, id_col, text_col).select(F.col("uid").alias(n["_uid"]), F.concat("exact", "near").alias(n["_gone"])).where(F.size(n["_gone"]) > 0)
+    joined = docs.withColumn(n["_uid"], F.monotonically_increasing_id()).join(found, n["_uid"], "left")
+    gone = F.col(n["_gone"])
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = joined.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(kept))
+    out = out.where(gone.isNull() | (F.length(F.trim(F.translate(F.col(text_col), "\n\t\r", ""))) > 0))
     return out.select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import decontaminate, langid, lines, mpegts, neardup, packing, passages, pii, toxicity
+from counterpoise.llm import decontaminate, langid, lines, mpegts, neardup, packing, passages, pii, toxicity, urls
 from counterpoise.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_gradient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.document_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_fp_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_convolutional": op1_convolutional,
     "op2_deletion_neighbourhood": op2_deletion_neighbourhood,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_prob_min_hash": op5_prob_min_hash,
     "op6_mpeg_transport": op6_mpeg_transport,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_fp_growth": op8_fp_growth,
     "op9_prefix_filter": op9_prefix_filter,
     "op10_gradient_boosting": op10_gradient_boosting,
 }
@@ -101,4 +106,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_prefix_filter": DECONTAMINATE_SQL, "op2_deletion_neighbourhood": LINES_SQL}
+_PARSED = """
+p AS (SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*(/[^?#]*)?', 1) AS path FROM p),
+g AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
+"""
+
+URLS_SQL = f"""
+WITH {_PARSED},
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS given, row_number() OVER () AS id,
+    list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, list_filter(string_split(host, '.'), lambda x: x <> '') AS lab,
+    CASE WHEN position('?' IN url) > 0 THEN string_split(string_split(substr(url, position('?' IN url) + 1), '#')[1], '?')[1] ELSE '' END AS query FROM g),
+t AS (SELECT *, CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_sort(list_distinct(list_concat(
+    ['s:' || lower(string_split(url, '://')[1])], list_transform(lab, lambda x: 'h:' || x),
+    list_transform(list_filter(flatten(list_transform(lab, lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'w:' || x),
+    list_transform(range(1, len(seg) + 1), lambda i: 'p' || (i - 1)::VARCHAR || ':' || regexp_replace(lower(seg[i]), '[0-9]+', '0', 'g')),
+    ['depth:' || len(seg)::VARCHAR], list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'q:' || string_split(x, '=')[1]),
+    CASE WHEN position('#' IN url) > 0 THEN ['f:'] ELSE []::VARCHAR[] END))) END AS toks FROM v),
+lab AS (SELECT id, toks, given FROM t WHERE given IS NOT NULL AND len(toks) > 0),
+nn AS (SELECT count(*) AS n FROM lab),
+u AS (SELECT id, given, unnest(toks) AS tok FROM lab),
+f1 AS (SELECT tok FROM u GROUP BY tok HAVING count(*) >= ceil(0.01 * (SELECT n FROM nn))),
+uf AS (SELECT id, given, tok FROM u SEMI JOIN f1 USING (tok)),
+combos AS (
+    SELECT id, given, [tok] AS items FROM uf
+    UNION ALL SELECT a.id, a.given, [a.tok, b.tok] FROM uf a JOIN uf b ON a.id = b.id AND a.tok < b.tok
+    UNION ALL SELECT a.id, a.given, [a.tok, b.tok, c.tok] FROM uf a JOIN uf b ON a.id = b.id AND a.tok < b.tok JOIN uf c ON b.id = c.id AND b.tok < c.tok),
+cnt AS (SELECT items, given, count(*) AS n FROM combos GROUP BY items, given),
+tot AS (SELECT items, sum(n)::BIGINT AS total FROM cnt GROUP BY items),
+rules AS (SELECT items, given AS verdict, n, tot.total AS total FROM cnt JOIN tot USING (items) WHERE n >= ceil(0.01 * (SELECT n FROM nn)) AND n >= 0.6 * total),
+need AS (SELECT DISTINCT toks FROM t WHERE given IS NULL),
+m AS (SELECT toks, verdict, n, total, items FROM need JOIN rules ON list_has_all(toks, items)),
+best AS (SELECT toks, verdict AS mined, list_aggregate(items, 'string_agg', ' ') AS mined_by FROM m QUALIFY row_number() OVER (PARTITION BY toks ORDER BY n / total DESC, n DESC, len(items) DESC, verdict DESC, list_aggregate(items, 'string_agg', ' ') DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(given, mined, 'allow') AS verdict, CASE WHEN given IS NULL THEN coalesce(mined_by, '') ELSE '' END AS mined_by
+FROM t LEFT JOIN best USING (toks)
+"""
+
+ORACLES: dict[str, str] = {"op8_fp_growth": URLS_SQL, "op9_prefix_filter": DECONTAMINATE_SQL, "op2_deletion_neighbourhood": LINES_SQL}
