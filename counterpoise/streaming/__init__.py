@@ -1,0 +1 @@
+"""The engine's operators are batch operators: none keeps state between batches, so there is nothing to stream."""
