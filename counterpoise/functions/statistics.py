@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterpoise.functions.columns import col, finite
-from counterpoise.sources.scratch import row_numbers
+from counterpoise.sources.scratch import row_numbers, scratch
 
 #: Rows up to which quantiles are one aggregate; beyond it they are read off a distributed sort. Both are exact.
 AGGREGATE_ROWS = 5_000_000
