@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,32 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most rows that an Arrow batch of texts may have: texts can be long, and a batch is held twice.
+BATCH_ROWS = 1000
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system: Python workers live on with other tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows in this session; memory is given back after each task."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(tidy, schema)
+
+
 #: The most rows of a few numbers that a join may send to every executor; beyond it both sides are exchanged.
 BROADCAST_ROWS = 400_000
 
@@ -62,17 +91,24 @@ def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its columns of these names, whatever their case: result columns take their places."""
+    taken = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in taken]
+    return df.select(*(q(c) for c in df.columns if c not in clash)) if clash else df
+
+
 def q(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def slices(texts: Iterable[str | None], max_chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Whole texts in runs of about ``max_chars`` characters (null: empty), so that a worker's memory doesn't
-    follow the size of an Arrow batch."""
+def slices(texts, max_chars: int = 1 << 20, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """Whole texts of an Arrow column in runs of about ``max_chars`` characters (null: empty), so that a worker's
+    memory doesn't follow the size of a batch."""
     run: list[str] = []
     at = begin = held = 0
-    for at, text in enumerate(texts, 1):
+    for at, text in enumerate((t for k in range(0, len(texts), rows) for t in texts[k : k + rows].to_pylist()), 1):
         run.append(text or "")
         held += len(run[-1])
         if held >= max_chars:

@@ -1,4 +1,4 @@
-"""Connected components of a link table, and helpers for candidate buckets."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
@@ -11,20 +11,22 @@ from counterpoise.llm.common import materialize
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node`` and ``root``, the least node of its component, for every node that has a link.
 
-    Each round gives every node the least label among itself and its neighbours and then follows labels
-    to their own labels, so that chains shrink by half; rounds are stored tables and end when no label moves.
+    Rounds of contraction: every node goes to the least of itself and its neighbours, links become links
+    between these, and links within one are done. The number of nodes with links shrinks by half or more, and
+    the least node of a component stays to the end. Nodes then follow the rounds' tables to their root.
     """
-    edges = materialize(
-        links.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y").union(links.select(F.col(right), F.col(left)).where(f"`{left}` <> `{right}`")).distinct(),
-        "edges",
-    )
-    labels = materialize(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("root")), "labels")
+    edges = links.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y")
+    edges = materialize(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    steps: list[DataFrame] = []
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = materialize(met.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")), "labels")
-        moved = after.where("was <> root").limit(1).count()
-        labels = after.drop("was")
-        if not moved:
-            return labels
+        parents = materialize(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("p")), "parents")
+        steps.append(parents)
+        from_x = parents.select("x", F.col("p").alias("px"))
+        from_y = parents.select(F.col("x").alias("y"), F.col("p").alias("py"))
+        edges = materialize(edges.join(from_x, "x").join(from_y, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct(), "edges")
+        if not edges.limit(1).count():
+            break
+    out = steps[0].select(F.col("x").alias("node"), F.col("p").alias("root"))
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("x").alias("root"), F.col("p").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return materialize(out, "roots")

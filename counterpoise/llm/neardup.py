@@ -8,15 +8,16 @@ arrival after the latest of these first times can matter.
 
 Texts with equal words are one class from the start and only its first document goes on. Documents
 that agree in all components of a band are candidates; they are linked if at least 0.8 of their
-shingles, as sets, are common to both. A bucket of up to ``CENTRES`` documents compares all its pairs.
-A larger one compares every member with ``CENTRES`` of them, then all that were linked to none among
-themselves, with twice as many centres each time, until none is left. Classes are the components of all links.
+shingles, as sets, are common to both. A bucket of up to ``PAIRS_UP_TO`` documents compares all its pairs.
+A larger one compares every member with ``CENTRES`` of them; then all that are in no class with one of these,
+by whatever links, do so among themselves, with four times as many centres each time, until none is left. Classes are the components of all links.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import materialize, slices
+from counterpoise.llm.common import fresh, map_batches, materialize, slices, small
 from counterpoise.llm.components import components
 from counterpoise.llm.shingles import GOLD, mix, shingle_hashes, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
-BANDS, ROWS, CENTRES = 24, 6, 16
+BANDS, ROWS, PAIRS_UP_TO, CENTRES = 40, 8, 16, 4
 _U = np.uint64
 
 
@@ -60,8 +61,8 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, of: np.ndarray, n:
     return winner.reshape(n, m)
 
 
-def features(texts: list[str]) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
-    """Of each text: digest of its words, sorted 32-bit shingle hashes as bytes, band keys, whether it has a word."""
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and their bounds by text; distinct shingles in order, the text of each, and its count there."""
     words, bounds = word_hashes(texts)
     hashes, of = shingle_hashes(words, bounds, SIZE)
     order = np.lexsort((hashes, of))
@@ -69,31 +70,57 @@ def features(texts: list[str]) -> tuple[list[bytes], list[bytes], np.ndarray, np
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
     at = np.flatnonzero(new)
-    hashes, of, counts = hashes[at], of[at], np.diff(np.append(at, len(new)))
+    return words, bounds, hashes[at], of[at], np.diff(np.append(at, len(new)))
+
+
+def features(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of each text: digest of its words, band keys, whether it has a word."""
+    words, bounds, hashes, of, counts = shingle_sets(texts)
     sig = prob_min_hash(hashes, 1 + np.log(counts), of, len(texts))
     keys = np.zeros((len(texts), BANDS), _U)
     for r in range(ROWS):
         keys = mix(keys * GOLD + sig[:, r::ROWS][:, :BANDS] + np.arange(BANDS, dtype=_U))
+    digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return digests, keys.view(np.int64), np.diff(bounds) > 0
+
+
+def packed_sets(texts: list[str]) -> list[bytes]:
+    """The sorted 32-bit shingle hashes of each text."""
+    _, _, hashes, of, _ = shingle_sets(texts)
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
     short = (hashes >> _U(32)).astype("<u4")
-    sets = [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return digests, sets, keys.view(np.int64), np.diff(bounds) > 0
+    return [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([source.schema["uid"], source.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    source = _numbered(docs, id_col, text_col)
+    schema = T.StructType([source.schema["uid"], source.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in slices(batch.column(2).to_pylist(), 1 << 19):
-                digests, sets, keys, some = features(texts)
+            for begin, texts in slices(batch.column(2), 1 << 18):
+                digests, keys, some = features(texts)
                 part = batch.slice(begin, len(texts))
                 rows = pa.array([k if ok else None for k, ok in zip(keys.tolist(), some, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([d if ok else None for d, ok in zip(digests, some, strict=True)], pa.binary()), pa.array(sets, pa.binary()), rows], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([d if ok else None for d, ok in zip(digests, some, strict=True)], pa.binary()), rows], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
+
+
+def document_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """uid and shingle set of the rows in ``wanted`` (uid), made anew from their texts: only candidates need one."""
+    source = _numbered(docs, text_col, text_col).select("uid", "text").join(small(wanted), "uid", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in slices(batch.column(1), 1 << 18):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(packed_sets(texts), pa.binary())], names=["uid", "set"])
+
+    return map_batches(source, run, "uid long, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -112,35 +139,40 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
                     keep[i] = common >= similarity * (len(p) + len(q) - common) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return map_batches(both.select("a", "b", "sa", "sb"), run, schema)
 
 
-def links_in_buckets(members: DataFrame, sets: DataFrame, centres: int = CENTRES) -> list[DataFrame]:
+def links_in_buckets(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairs_up_to: int = PAIRS_UP_TO, centres: int = CENTRES) -> list[DataFrame]:
     """Verified links among ``members`` (key, uid) that share a key; stored tables, one for each round."""
-    out, alive = [], members
+    out, alive, wanted = [], members, None
     while True:
         sizes = alive.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = materialize(alive.join(sizes, "key"), "buckets")
+        if wanted is None:  # later rounds have no other members
+            wanted = materialize(sets_of(materialize(shared.select("uid").distinct(), "candidates")), "sets")
         turn = Window.partitionBy("key").orderBy(F.xxhash64("uid"), "uid")
-        tops = shared.select("key", F.col("uid").alias("c"), F.row_number().over(turn).alias("k")).where(F.col("k") <= centres).drop("k")
+        tops = shared.select("key", F.col("uid").alias("c"), "n", F.row_number().over(turn).alias("k")).where(F.col("k") <= max(centres, pairs_up_to))
+        tops = tops.where((F.col("n") <= pairs_up_to) | (F.col("k") <= centres)).select("key", "c")
         met = shared.join(tops, "key").where("uid <> c")
         pairs = met.select(F.least("uid", "c").alias("a"), F.greatest("uid", "c").alias("b")).distinct()
-        out.append(materialize(verified(pairs, sets), "links"))
-        large = shared.where(F.col("n") > centres).select("key", "uid")
+        out.append(materialize(verified(pairs, wanted), "links"))
+        large = shared.where(F.col("n") > pairs_up_to).select("key", "uid")
         if not large.limit(1).count():
             return out
-        # What no centre of its bucket was linked to, centres aside, goes on.
-        tops_large = tops.join(large.select("key").distinct(), "key", "left_semi")
-        hits = met.where(F.col("n") > centres).select("key", "uid", F.least("uid", "c").alias("a"), F.greatest("uid", "c").alias("b")).join(out[-1], ["a", "b"], "left_semi").select("key", "uid")
-        done = hits.union(tops_large.select("key", F.col("c").alias("uid"))).distinct()
-        alive = materialize(large.join(done, ["key", "uid"], "left_anti"), "left")
+        # What is in no class of its bucket's centres goes on.
+        roots = components(reduce(DataFrame.union, out))
+        class_of = lambda df, col: df.join(roots.select(F.col("node").alias(col), "root"), col, "left").withColumn("root", F.coalesce("root", col))
+        taken = class_of(tops.join(large.select("key").distinct(), "key", "left_semi"), "c").select("key", "root").distinct()
+        alive = materialize(class_of(large, "uid").join(taken, ["key", "root"], "left_anti").select("key", "uid"), "left")
         if not alive.limit(1).count():
             return out
-        centres *= 2
+        centres *= 4
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: uid, id, class_id (the least id of its class), kept (it is the first of its class), class_size, n_links.
+    """``docs`` must give its rows in the same order each time it is read, as stored tables do: it is read twice.
+
+    One row for each row of ``docs``: uid, id, class_id (the least id of its class), kept (it is the first of its class), class_size, n_links.
 
     ``n_links`` counts the verified links of its text to other texts, and ``uid`` numbers the rows of ``docs``.
     Rows whose text has no word (null, empty, only marks) are classes of their own. Of rows with the same id the
@@ -153,16 +185,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = materialize(worded.groupBy("digest").agg(F.min(order).alias("f")).select("digest", F.col("f.uid").alias("first")), "firsts")
     reps = worded.join(firsts.select(F.col("first").alias("uid")), "uid", "left_semi")
     members = reps.select("uid", F.explode("bands").alias("key"))
-    links = None
-    for part in links_in_buckets(members, worded.select("uid", "set")):
-        links = part if links is None else links.union(part)
-    links = materialize(links.distinct(), "links")
+    links = materialize(reduce(DataFrame.union, links_in_buckets(members, lambda wanted: document_sets(docs, text_col, wanted))).distinct(), "links")
     roots = components(links).select(F.col("node").alias("first"), "root")
     degree = links.select(F.col("a").alias("first")).union(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     known = firsts.join(roots, "first", "left").join(degree, "first", "left").select("digest", F.coalesce("root", "first").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = feats.select("uid", "id", "digest").join(known, "digest", "left").select("uid", "id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = materialize(rows, "rows")
-    heads = rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size"))
+    heads = materialize(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size")), "heads")
     return rows.join(heads, "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size", "n_links")
 
 
@@ -171,9 +200,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "kept", "class_size", "n_links")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first document of each class, with the columns of ``docs``. ``docs`` must be a stored table, read in the same order each time."""
-    stored = docs.withColumn("_near_uid", F.monotonically_increasing_id())
-    # Rows of the same id are told apart by their number.
-    kept = classes(docs).where("kept").select(F.col("uid").alias("_near_uid"))
-    return stored.join(kept, "_near_uid", "left_semi").drop("_near_uid")
+    uid = fresh(docs, "_uid")["_uid"]
+    kept = classes(docs, id_col, text_col).where("kept").select(F.col("uid").alias(uid))
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").select(*docs.columns)

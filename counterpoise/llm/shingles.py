@@ -26,7 +26,7 @@ _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, 1 << 21), base, _U)
+            steps = np.full(max(n, 1 << 19), base, _U)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]
