@@ -62,7 +62,7 @@ def ks(freq: DataFrame, by: Sequence[str] = (), distributed: bool = False) -> Da
         before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
         starts = sums.select(*by, "__part", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"))
         total = sums.groupBy(*by).agg(F.sum("sa").alias("ta"), F.sum("sb").alias("tb"))
-        run = place.select(*by, "__part", F.sum("a").over(local).alias("ca"), F.sum("b").over(local).alias("cb")).join(F.broadcast(starts), [*by, "__part"])
+        run = place.select(*by, "__part", F.sum("a").over(local).alias("ca"), F.sum("b").over(local).alias("cb")).join(starts, [*by, "__part"])
         run = _beside(run, total, by)
         p = ((F.col("ca") + F.col("oa")) / F.nullif("ta", F.lit(0))) - ((F.col("cb") + F.col("ob")) / F.nullif("tb", F.lit(0)))
         return run.select(*by, F.abs(p).alias("d")).groupBy(*by).agg(F.max("d").alias("statistic"))
@@ -76,7 +76,7 @@ def ks(freq: DataFrame, by: Sequence[str] = (), distributed: bool = False) -> Da
 def _beside(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """``df`` with the totals of its group, of which there are as many as groups."""
     if by:
-        return df.join(F.broadcast(totals), list(by))
+        return df.join(totals, list(by))
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(totals.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 

@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from counterpoise.functions.columns import col, finite, is_finite, seeded
 
 
+def analysis_table(source: DataFrame, pairs: DataFrame, row_id: str = "_rm_id") -> DataFrame:
+    """The source rows of all treated rows and of their kept controls, with ``arm`` treated or control.
+
+    ``pairs`` as a matching run publishes them; ``source`` carries the run's row numbers.
+    """
+    treated = pairs.select(F.col("target_rm_id").alias(row_id)).distinct().withColumn("arm", F.lit("treated"))
+    controls = pairs.where("control_rm_id is not null").select(F.col("control_rm_id").alias(row_id), F.lit("control").alias("arm"))
+    return source.join(treated.unionByName(controls), row_id)
+
+
+def status_counts(pairs: DataFrame) -> DataFrame:
+    """How many rows of the pair table have which status and quality."""
+    return pairs.groupBy("match_status", "quality_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def group_means(df: DataFrame, by: str, outcomes: Sequence[str]) -> DataFrame:
     """Rows and mean outcomes of each group."""
     return df.groupBy(col(by)).agg(F.count(F.lit(1)).alias("n"), *(F.avg(col(v)).alias(f"mean_{v}") for v in outcomes))

@@ -62,7 +62,7 @@ def trim(targets: DataFrame, controls: DataFrame, variable: str, kind: str, n_bi
     groups = excess_groups(targets, controls, variable, kind, n_bins)
     if group is None:
         return controls.where(F.lit(False)).select("_rm_id", "match_strength", F.lit("").alias("group"), F.lit(0.0).alias("target_share"), F.lit(0.0).alias("control_share"), F.lit(0).cast("long").alias("excess_rows"))
-    live = controls.select("_rm_id", "match_strength", group.alias("group")).join(F.broadcast(groups), "group")
+    live = controls.select("_rm_id", "match_strength", group.alias("group")).join(groups, "group")
     rank = F.row_number().over(Window.partitionBy("group").orderBy(F.coalesce("match_strength", F.lit(0.0)), "_rm_id"))
     return live.withColumn("_k", rank).where(F.col("_k") <= F.col("excess_rows")).drop("_k")
 

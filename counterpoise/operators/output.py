@@ -19,7 +19,7 @@ def pair_table(rows: DataFrame, kept: DataFrame, flags: DataFrame, cutoff: float
     thin_stratum; ``below``: targets that lost all to the tolerance.
     """
     own = col(id_col) if id_col else F.col("_rm_id").cast("long")
-    marks = F.broadcast(flags.select("stratum", "no_control", "thin_stratum"))
+    marks = flags.select("stratum", "no_control", "thin_stratum")
     base = rows.select("_rm_id", F.col("_stratum").alias("stratum"), "_treatment", own.alias("own_id"))
     t = base.where("_treatment = 1").select(F.col("_rm_id").alias("target_rm_id"), "stratum", F.col("own_id").alias("target_id")).join(marks, "stratum", "left")
     c = base.select(F.col("_rm_id").alias("control_rm_id"), F.col("own_id").alias("control_id"))

@@ -74,7 +74,7 @@ def select_ids(pop: DataFrame, quotas: DataFrame, cfg: SamplingConfig, n: int) -
     """
     if cfg.sample_size == n:
         return pop.select(ID)
-    keyed = pop.select(ID, LABEL, GROUP).join(F.broadcast(quotas.where("quota > 0").select(LABEL, GROUP, "quota", "n_population")), [LABEL, GROUP])
+    keyed = pop.select(ID, LABEL, GROUP).join(quotas.where("quota > 0").select(LABEL, GROUP, "quota", "n_population"), [LABEL, GROUP])
     keyed = keyed.withColumn("_h", seeded(cfg.random_state, "row", F.col(ID).cast("string")))
     # Runs of about a few thousand rows, whatever the group's size.
     digits = F.least(F.lit(8), F.greatest(F.lit(0), F.ceil(F.ln(F.col("n_population") / 4096.0) / F.ln(F.lit(16.0))).cast("int")))

@@ -186,6 +186,8 @@ SELECT sum(requested_assignments)::BIGINT AS requested_assignments, sum(assignme
     "sample_status": _checked() + " SELECT status, count(*) AS n FROM bal WHERE required GROUP BY status",
     "sample_strata_report": _sample(37) + " SELECT l AS label, g AS feature_group, quota AS allocated_rows, quota AS sampled_rows, round(np / (SELECT n FROM nn), 9) AS population_share, round(np / nc, 9) AS within_class_population_share, round(quota / nullif(cq, 0), 9) AS within_class_sample_share FROM qt",
     "ab_group_means": _SIDES + " SELECT arm, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders JOIN (SELECT c_custkey, CASE WHEN t = 1 THEN 'treated' WHEN id IN (SELECT cid FROM kept) THEN 'control' ELSE 'rest' END AS arm FROM st) ON o_custkey = c_custkey GROUP BY arm",
+    "ab_analysis_table": _PAIRS + " SELECT arm, c_custkey, round(c_acctbal, 6) AS c_acctbal, region FROM (SELECT DISTINCT 'treated' AS arm, target_rm_id AS id FROM pt UNION ALL SELECT 'control', control_rm_id FROM pt WHERE control_rm_id IS NOT NULL) JOIN st USING (id)",
+    "match_status_counts": _PAIRS + " SELECT match_status, quality_status, count(*) AS n FROM pt GROUP BY ALL",
     "ab_crosstab": f"WITH {CUSTOMERS} SELECT region, round(count(*) FILTER (WHERE is_target = 0) / (SELECT count(*) FROM c0 WHERE is_target = 0), 9) AS rest, round(count(*) FILTER (WHERE is_target = 1) / (SELECT count(*) FROM c0 WHERE is_target = 1), 9) AS treated FROM c0 GROUP BY region",
     "feature_profile": " UNION ALL ".join(f"SELECT '{v}' AS variable, count({v}) AS n, round(min({v}), 6) AS least, round(max({v}), 6) AS most, round(avg({v}), 6) AS mean, count(*) FILTER (WHERE {v} IS NULL OR NOT isfinite({v})) AS n_not_finite FROM lineitem" for v in ("l_quantity", "l_extendedprice", "l_discount")),
     "tail_holdout": "SELECT CASE WHEN k <= n - 20 THEN 'train' ELSE 'held_out' END AS side, k AS source_row_id, doc_id FROM (SELECT row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n, doc_id FROM labels)",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from counterpoise.config import MatchConfig, SamplingConfig
 from counterpoise.functions.statistics import quantiles
 from counterpoise.operators import assign, balance, coverage, drift, output, sampling, scoring, strata, tolerance
-from counterpoise.operators.analysis import column_shares, feature_profile, group_means, seeded_draw
+from counterpoise.operators.analysis import analysis_table, column_shares, feature_profile, group_means, seeded_draw, status_counts
 from counterpoise.operators.prepare import prepare
 from counterpoise.operators.profile import DataReport
 from counterpoise.plans.matching import ControlMatcher, Matched
@@ -381,6 +381,17 @@ def ab_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_means(orders.join(groups, "c_custkey"), "arm", ["o_totalprice"]).select("arm", "n", F.round("mean_o_totalprice", 4).alias("mean_price"))
 
 
+def ab_analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Treated customers and their pseudo-control group, as rows of the source."""
+    s, pairs = _pairs(spark, sf_dir)
+    source = s.found.rows.select("_rm_id", "c_custkey", "c_acctbal", "region")
+    return analysis_table(source, pairs).select("arm", "c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"), "region")
+
+
+def match_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status_counts(_pairs(spark, sf_dir)[1])
+
+
 def ab_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir).withColumn("arm", F.when(F.col("is_target") == 1, "treated").otherwise("rest"))
     return column_shares(c, "region", "arm", ["rest", "treated"]).select("region", F.round("rest", 9).alias("rest"), F.round("treated", 9).alias("treated"))
@@ -408,6 +419,6 @@ _NAMED = (
     profile_summary, profile_nulls, treatment_prepare, missing_flags, bin_edges_target, bin_edges_population, bucketize, stratum_key, stratum_counts, coverage_flags, capacity_strata, capacity_summary, capacity_trials,
     grouping_cardinality, stratum_group_values, target_moments, zscores, pair_scores, topk_candidates, nearest_control, greedy_assign, greedy_assign_1to2, greedy_assign_rounds, greedy_assign_capped, tolerance_cutoff, tolerance_kept,
     match_pairs, match_targets, coverage_summary, balance_ks, balance_js, balance_table, drift_excess, drift_trim, sample_classes, sample_quotas, sample_rows, sample_simple, sample_full, sample_balance_overall,
-    sample_balance_within, sample_status, sample_strata_report, ab_group_means, ab_crosstab, feature_profile_, tail_holdout_, random_control_baseline,
+    sample_balance_within, sample_status, sample_strata_report, ab_group_means, ab_analysis_table, match_status_counts, ab_crosstab, feature_profile_, tail_holdout_, random_control_baseline,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.rstrip("_"): f for f in _NAMED}
