@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import held_out, materialize, slices
+from counterpoise.llm.common import held_out, map_batches, materialize, slices, without
 
 ORDER = 5
 PER_LANG = 1500
 #: Words a worker's memo may hold before it is emptied.
-MEMO = 400_000
+MEMO = 200_000
 START, END = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,7 +200,7 @@ def _score(df: DataFrame, model: KneserNey, text_col: str, names: tuple[str, str
         model, memo = shared.value, None
         for batch in batches:
             memo = WordMemo(model) if memo is None and model.langs else memo
-            for begin, texts in slices(batch.column(at).to_pylist()):
+            for begin, texts in slices(batch.column(at)):
                 if memo is None:
                     langs, score, low, odd = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
                 else:
@@ -211,7 +211,7 @@ def _score(df: DataFrame, model: KneserNey, text_col: str, names: tuple[str, str
                 part = batch.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64()), pa.array(odd, pa.bool_())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> KneserNey:
@@ -242,7 +242,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     # With few rows, all of them teach.
     teach = sample.where(~F.col("check")) if min(n.values()) >= 50 else sample
-    table = teach.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    table = map_batches(teach.select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counter] = {}
     for lang, word, k in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts.setdefault(lang, Counter())[word] = k
@@ -278,11 +278,11 @@ def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataF
     """Add lang_pred, score, cross_entropy and rejected to every row, from the whole text.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Long texts are read whole,
-    ties go to the first language in sorted order, repeated rows and other columns stay as they are.
+    ties go to the first language in sorted order, repeated rows and other columns stay as they are; the results
+    replace columns of their names.
     """
-    if {"lang_pred", "score", "cross_entropy", "rejected"} & {c.lower() for c in docs.columns}:
-        raise ValueError("a result column's name is taken")
-    return _score(docs, model, text_col, ("lang_pred", "score", "cross_entropy", "rejected"))
+    names = ("lang_pred", "score", "cross_entropy", "rejected")
+    return _score(without(docs, *names), model, text_col, names)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

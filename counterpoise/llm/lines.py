@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import fresh, materialize, slices, small
+from counterpoise.llm.common import fresh, map_batches, materialize, slices, small
 from counterpoise.llm.shingles import GOLD, _power_tables, mix
 
 MIN_CHARS, SLICE = 20, 1 << 21
@@ -122,7 +122,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in slices(batch.column(2).to_pylist(), SLICE):
+            for begin, texts in slices(batch.column(2), SLICE):
                 part = batch.slice(begin, len(texts))
                 uid, ids = part.column(0).to_numpy(), part.column(1)
                 by_id = pa.compute.sort_indices(pa.table({"i": ids, "u": part.column(0)}), [("i", "ascending"), ("u", "ascending")], null_placement="at_end").to_pylist()
@@ -156,7 +156,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
                     names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def _variant_rows(lines: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = batch.column(5).to_pylist()
-            for begin, texts in slices(batch.column(4).to_pylist(), 1 << 17):
+            for begin, texts in slices(batch.column(4), 1 << 17):
                 marks = np.zeros((len(texts), 4), bool)
                 for i, places in enumerate(shared[begin : begin + len(texts)]):
                     marks[i, places] = True
@@ -174,7 +174,7 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
                 rows = pa.array(of + begin, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(4)), pa.array(key), pa.array(role)], names=schema.names)
 
-    return lines.select("none", "id", "uid", "line", "norm", "shared").mapInArrow(run, schema)
+    return map_batches(lines.select("none", "id", "uid", "line", "norm", "shared"), run, schema)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import fresh, materialize, q
+from counterpoise.llm.common import fresh, map_batches, materialize, q, without
 
 # Fixed values of the standard.
 PACKET, SYNC, PAT_PID, STREAM_ID, STREAM_TYPE = 188, 0x47, 0x0000, 0xBD, 0x06
@@ -204,17 +204,16 @@ def _appended(df: DataFrame, add: list[T.StructField], row) -> DataFrame:
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, *row(part)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def encode_media(df: DataFrame, text_col: str = "text", media_col: str = "media", n_bytes_col: str = "n_bytes", keep_text: bool = True) -> DataFrame:
     """Add the text's transport stream and its unpadded length in bytes.
 
-    Null is the empty text. Rows, order in a partition, repeated rows and all other columns stay; a clash of
-    the new names with a column of ``df`` raises ValueError.
+    Null is the empty text. Rows, order in a partition, repeated rows and all other columns stay; columns by
+    the new names are replaced.
     """
-    if {media_col.lower(), n_bytes_col.lower()} & {c.lower() for c in df.columns}:
-        raise ValueError("media_col and n_bytes_col must be new names")
+    df = without(df, media_col, n_bytes_col)
     at = df.columns.index(text_col)
 
     def row(part: pa.RecordBatch) -> list[pa.Array]:
@@ -228,11 +227,10 @@ def encode_media(df: DataFrame, text_col: str = "text", media_col: str = "media"
 def decode_media(df: DataFrame, media_col: str = "media", with_payload: bool = True) -> DataFrame:
     """Add ``payload``, ``pts``, ``rap_pts``, ``rap_packets``, ``cc_errors``, ``feature`` and digests of a stored stream.
 
-    Columns of ``df`` by those names are in the way and raise ValueError; a null stream gives nulls.
+    Columns of ``df`` by those names are replaced; a null stream gives nulls.
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "cc_errors", "pts", "rap_pts", "rap_packets", "payload"]
-    if set(names) & {c.lower() for c in df.columns}:
-        raise ValueError("a result column's name is taken")
+    df = without(df, *names)
     at = df.columns.index(media_col)
     kinds = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.LongType(), *[T.ArrayType(T.LongType())] * 3, T.BinaryType()]
     arrow = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]

@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import fresh, materialize, q, slices
+from counterpoise.llm.common import fresh, map_batches, materialize, q, slices
 
 CAPACITY = 4096
 END_ID = 1
 #: Entries a worker's token memo may hold before it sheds what it didn't use of late.
-MEMO = 700_000
+MEMO = 200_000
 MARKS = ".,;:!?"
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -140,7 +140,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = token_memo(tokenizer)
         for batch in batches:
-            for begin, texts in slices(batch.column(batch.num_columns - 1).to_pylist()):
+            for begin, texts in slices(batch.column(batch.num_columns - 1)):
                 row, start, length, crc, piece, ids = [], [], [], [], [], []
                 for i, raw in enumerate(memo.encode_all(texts)):
                     raw += tail
@@ -156,7 +156,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tu
                 kept_rows = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept_rows, *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(piece, pa.int32()), *([pa.array(ids, pa.binary())] * with_ids)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 # ---------------------------------------------------------------- bin completion
@@ -379,7 +379,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
                 off.append(offsets[which])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return map_batches(ranked, place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import slices
+from counterpoise.llm.common import map_batches, slices
 from counterpoise.llm.shingles import _BYTE, _WORD, GOLD, _power_tables, mix
 
 MIN_WORDS, SLICE = 20, 1 << 22
@@ -109,7 +109,7 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in slices(batch.column(2).to_pylist(), SLICE):
+            for begin, texts in slices(batch.column(2), SLICE):
                 part = batch.slice(begin, len(texts))
                 uid = part.column(0).to_numpy()
                 ids = part.column(1)
@@ -141,7 +141,7 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
                     names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

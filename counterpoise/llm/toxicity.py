@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import held_out, materialize, slices
+from counterpoise.llm.common import fresh, give_back, held_out, map_batches, materialize, q, slices, without
 from counterpoise.llm.langid import letters
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 17, 8, 8, (1, 2, 3), (3, 4, 5, 6, 7)
 FEATURES = 1 + len(PREFIXES)
 #: Bounds of the training sample: rows of each label, and characters of each label.
-MAX_ROWS, MAX_CHARS = {0: 6000, 1: 3000}, 24_000_000
-EPOCHS, BATCH, RATE, MEMO = 4, 16, 0.05, 300_000
+MAX_ROWS, MAX_CHARS = {0: 5000, 1: 2500}, 16_000_000
+EPOCHS, BATCH, RATE, MEMO = 4, 16, 0.05, 150_000
 CUT = 0.3
 BLOCKS = sum(WIDTHS)
 
@@ -137,7 +137,8 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], weights
     for t in texts:
         ids = [vocabulary.setdefault(w, len(vocabulary)) for part in t.split() for w in letters(part)]
         docs.append(np.array(ids, np.int32))
-    feats = np.array([buckets(w) for w in vocabulary], np.int64).reshape(-1, FEATURES)
+    feats = np.fromiter(chain.from_iterable(buckets(w) for w in vocabulary), np.int32, FEATURES * len(vocabulary)).reshape(-1, FEATURES)
+    vocabulary.clear()
     order = rng.permutation(len(docs))
     cut = len(docs) // 5 if len(docs) >= 50 else 0
     check, teach = order[:cut], order[cut:]
@@ -281,7 +282,9 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col:
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxic")), F.lit(1_000_000)) / 1_000_000
     share = {y: min(1.0, MAX_ROWS[y] / n[y]) for y in n}
     chosen = marks.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    sample = materialize(texts.join(F.broadcast(chosen), "id"), "toxic-sample")  # at most about the sum of MAX_ROWS ids
+    # At most about the sum of MAX_ROWS ids; of rows with one id one teaches.
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "lang", "label")).alias("row")).select("id", "row.*")
+    sample = materialize(sample, "toxic-sample")
     size = {r["label"]: (r["c"], r["n"]) for r in sample.groupBy("label").agg(F.sum(F.length("text")).alias("c"), F.count(F.lit(1)).alias("n")).collect()}
     if set(size) != {0, 1}:
         return None
@@ -292,30 +295,34 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col:
     if len(set(y.tolist())) < 2:
         return None
     weights = np.where(y == 1, 1 / (share[1] * less[1]), 1 / (share[0] * less[0]))
-    return train(rows.column("text").to_pylist(), y, rows.column("lang").to_pylist(), weights)
+    texts_, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    del rows
+    net = train(texts_, y, langs, weights)
+    del texts_
+    give_back()
+    return net
 
 
-def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network | None, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from ``CUT`` on) to every row, from the whole text.
 
     Null and empty texts get the score of no evidence. Without a network every score is 0. Repeated rows
-    get equal scores; other columns stay as they are.
+    get equal scores; other columns stay as they are, and the results replace columns of their ``names``.
     """
-    if {"score", "predicted"} & {c.lower() for c in docs.columns}:
-        raise ValueError("a result column's name is taken")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    docs = without(docs, *names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         memo = WordMemo(net) if net is not None else None
         for batch in batches:
-            for begin, texts in slices(batch.column(at).to_pylist(), 1 << 19):
+            for begin, texts in slices(batch.column(at), 1 << 19):
                 s = net.judge(*memo.logits(texts)).astype(np.float64) if memo is not None else np.zeros(len(texts))
                 part = batch.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,6 +332,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
+    """The documents that the classifier doesn't reject, with their own columns; none goes where there is nothing to learn from."""
     net = learn(docs, labels)
-    return score(docs, net).where("predicted = 0").select(*docs.columns)
+    n = fresh(docs, "_score", "_predicted")
+    return score(docs, net, names=(n["_score"], n["_predicted"])).where(q(n["_predicted"]) == 0).select(*(q(c) for c in docs.columns))
