@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.llm.common import fresh, materialize, small
+from counterpoise.llm.common import fresh, materialize, small, without
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.6, 3
@@ -102,11 +102,10 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str,
 
     ``labelled`` (url, verdict) teaches the association rules; by default the URLs that a given rule decides
     do. Null URLs and those without ``://`` have an empty host and path and no tokens and are allowed. Rows,
-    repeated ones too, and other columns stay; a column named like a result raises ValueError.
+    repeated ones too, and other columns stay; the results replace columns of their names.
     """
     names = ("host", "path", "rule", "verdict", "by", "confidence")
-    if {*names} & {c.lower() for c in pages.columns}:
-        raise ValueError("a result column's name is taken")
+    pages = without(pages, *names)
     n = fresh(pages, "_given", "_tokens")
     url = F.col(url_col)
     parsed = pages.withColumns({"host": host(url), "path": path(url)})
