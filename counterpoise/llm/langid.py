@@ -30,7 +30,7 @@ from counterpoise.llm.common import held_out, map_batches, materialize, slices,
 ORDER = 5
 PER_LANG = 1500
 #: Words a worker's memo may hold before it is emptied.
-MEMO = 200_000
+MEMO = 300_000
 START, END = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

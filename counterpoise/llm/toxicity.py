@@ -30,7 +30,7 @@ BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 17, 8, 8, (1, 2, 3), (3, 4, 5, 6,
 FEATURES = 1 + len(PREFIXES)
 #: Bounds of the training sample: rows of each label, and characters of each label.
 MAX_ROWS, MAX_CHARS = {0: 5000, 1: 2500}, 16_000_000
-EPOCHS, BATCH, RATE, MEMO = 4, 16, 0.05, 150_000
+EPOCHS, BATCH, RATE, MEMO = 4, 16, 0.05, 280_000
 CUT = 0.3
 BLOCKS = sum(WIDTHS)
 
