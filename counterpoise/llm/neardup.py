@@ -7,8 +7,8 @@ probability Jaccard similarity. A text's arrivals end early: once every componen
 arrival after the latest of these first times can matter.
 
 Texts with equal words are one class from the start and only its first document goes on. Documents
-that agree in all components of a band are candidates; they are linked if at least 0.8 of their
-shingles, as sets, are common to both. A bucket of up to ``PAIRS_UP_TO`` documents compares all its pairs.
+that agree in all components of a band, and in most bits of a sketch of the signature, are candidates; they
+are linked if at least 0.8 of their shingles, as sets, are common to both. A bucket of up to ``PAIRS_UP_TO`` documents compares all its pairs.
 A larger one compares every member with ``CENTRES`` of them; then all that are in no class with one of these,
 by whatever links, do so among themselves, with four times as many centres each time, until none is left. Classes are the components of all links.
 """
@@ -30,7 +30,10 @@ from counterpoise.llm.components import components
 from counterpoise.llm.shingles import GOLD, mix, shingle_hashes, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
-BANDS, ROWS, PAIRS_UP_TO, CENTRES = 40, 8, 16, 4
+BANDS, ROWS, PAIRS_UP_TO, CENTRES = 40, 8, 8, 2
+#: Numbers of 64 bits in a sketch, and how many bits of two sketches may differ. At a similarity of 0.8 a bit differs
+#: with probability 0.1, so 59 of 320 are five standard deviations above what is expected.
+SKETCH, APART = 5, 59
 _U = np.uint64
 
 
@@ -73,15 +76,16 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return words, bounds, hashes[at], of[at], np.diff(np.append(at, len(new)))
 
 
-def features(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Of each text: digest of its words, band keys, whether it has a word."""
+def features(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: digest of its words, band keys, sketch (a bit of each component, as numbers), whether it has a word."""
     words, bounds, hashes, of, counts = shingle_sets(texts)
     sig = prob_min_hash(hashes, 1 + np.log(counts), of, len(texts))
     keys = np.zeros((len(texts), BANDS), _U)
     for r in range(ROWS):
         keys = mix(keys * GOLD + sig[:, r::ROWS][:, :BANDS] + np.arange(BANDS, dtype=_U))
     digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return digests, keys.view(np.int64), np.diff(bounds) > 0
+    sketch = np.packbits((mix(sig[:, : 64 * SKETCH] + GOLD) & _U(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, SKETCH)
+    return digests, keys.view(np.int64), sketch, np.diff(bounds) > 0
 
 
 def packed_sets(texts: list[str]) -> list[bytes]:
@@ -98,15 +102,15 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = _numbered(docs, id_col, text_col)
-    schema = T.StructType([source.schema["uid"], source.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema["uid"], source.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in slices(batch.column(2), 1 << 18):
-                digests, keys, some = features(texts)
+                digests, keys, sketch, some = features(texts)
                 part = batch.slice(begin, len(texts))
                 rows = pa.array([k if ok else None for k, ok in zip(keys.tolist(), some, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([d if ok else None for d, ok in zip(digests, some, strict=True)], pa.binary()), rows], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([d if ok else None for d, ok in zip(digests, some, strict=True)], pa.binary()), rows, pa.array(sketch.tolist(), pa.list_(pa.int64()))], names=schema.names)
 
     return map_batches(source, run, schema)
 
@@ -142,18 +146,22 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return map_batches(both.select("a", "b", "sa", "sb"), run, schema)
 
 
-def links_in_buckets(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairs_up_to: int = PAIRS_UP_TO, centres: int = CENTRES) -> list[DataFrame]:
-    """Verified links among ``members`` (key, uid) that share a key; stored tables, one for each round."""
+def links_in_buckets(members: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairs_up_to: int = PAIRS_UP_TO, centres: int = CENTRES) -> list[DataFrame]:
+    """Verified links among ``members`` (key, uid) that share a key; stored tables, one for each round. ``sketches``: uid, sketch."""
     out, alive, wanted = [], members, None
     while True:
         sizes = alive.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = materialize(alive.join(sizes, "key"), "buckets")
         if wanted is None:  # later rounds have no other members
-            wanted = materialize(sets_of(materialize(shared.select("uid").distinct(), "candidates")), "sets")
+            candidates = materialize(shared.select("uid").distinct(), "candidates")
+            wanted = materialize(sets_of(candidates), "sets")
+            known = materialize(sketches.join(candidates, "uid", "left_semi"), "sketches")
+        shared = materialize(shared.join(known, "uid"), "members")
         turn = Window.partitionBy("key").orderBy(F.xxhash64("uid"), "uid")
-        tops = shared.select("key", F.col("uid").alias("c"), "n", F.row_number().over(turn).alias("k")).where(F.col("k") <= max(centres, pairs_up_to))
-        tops = tops.where((F.col("n") <= pairs_up_to) | (F.col("k") <= centres)).select("key", "c")
-        met = shared.join(tops, "key").where("uid <> c")
+        tops = shared.select("key", F.col("uid").alias("c"), F.col("sketch").alias("c_sketch"), "n", F.row_number().over(turn).alias("k")).where(F.col("k") <= max(centres, pairs_up_to))
+        tops = tops.where((F.col("n") <= pairs_up_to) | (F.col("k") <= centres)).select("key", "c", "c_sketch")
+        apart = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("c_sketch")[k])) for k in range(SKETCH)), F.lit(0))
+        met = shared.join(tops, "key").where((F.col("uid") != F.col("c")) & (apart <= APART))
         pairs = met.select(F.least("uid", "c").alias("a"), F.greatest("uid", "c").alias("b")).distinct()
         out.append(materialize(verified(pairs, wanted), "links"))
         large = shared.where(F.col("n") > pairs_up_to).select("key", "uid")
@@ -162,7 +170,7 @@ def links_in_buckets(members: DataFrame, sets_of: Callable[[DataFrame], DataFram
         # What is in no class of its bucket's centres goes on.
         roots = components(reduce(DataFrame.union, out))
         class_of = lambda df, col: df.join(roots.select(F.col("node").alias(col), "root"), col, "left").withColumn("root", F.coalesce("root", col))
-        taken = class_of(tops.join(large.select("key").distinct(), "key", "left_semi"), "c").select("key", "root").distinct()
+        taken = class_of(tops.select("key", "c").join(large.select("key").distinct(), "key", "left_semi"), "c").select("key", "root").distinct()
         alive = materialize(class_of(large, "uid").join(taken, ["key", "root"], "left_anti").select("key", "uid"), "left")
         if not alive.limit(1).count():
             return out
@@ -185,7 +193,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = materialize(worded.groupBy("digest").agg(F.min(order).alias("f")).select("digest", F.col("f.uid").alias("first")), "firsts")
     reps = worded.join(firsts.select(F.col("first").alias("uid")), "uid", "left_semi")
     members = reps.select("uid", F.explode("bands").alias("key"))
-    links = materialize(reduce(DataFrame.union, links_in_buckets(members, lambda wanted: document_sets(docs, text_col, wanted))).distinct(), "links")
+    links = materialize(reduce(DataFrame.union, links_in_buckets(members, worded.select("uid", "sketch"), lambda wanted: document_sets(docs, text_col, wanted))).distinct(), "links")
     roots = components(links).select(F.col("node").alias("first"), "root")
     degree = links.select(F.col("a").alias("first")).union(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     known = firsts.join(roots, "first", "left").join(degree, "first", "left").select("digest", F.coalesce("root", "first").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
