@@ -28,7 +28,7 @@ from counterpoise.llm.common import fresh, map_batches, materialize, q, slices
 CAPACITY = 4096
 END_ID = 1
 #: Entries a worker's token memo may hold before it sheds what it didn't use of late.
-MEMO = 200_000
+MEMO = 450_000
 MARKS = ".,;:!?"
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
