@@ -10,7 +10,8 @@ Texts with equal words are one class from the start and only its first document
 that agree in all components of a band, and in most bits of a sketch of the signature, are candidates; they
 are linked if at least 0.8 of their shingles, as sets, are common to both. A bucket of up to ``PAIRS_UP_TO`` documents compares all its pairs.
 A larger one compares every member with ``CENTRES`` of them; then all that are in no class with one of these,
-by whatever links, do so among themselves, with four times as many centres each time, until none is left. Classes are the components of all links.
+by whatever links, do so among themselves with four times as many. Last, all pairs of a large bucket that are not in one
+class by then are compared in blocks. So every pair of a bucket is in one class or was compared. Classes are the components of all links.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BANDS, ROWS, PAIRS_UP_TO, CENTRES = 40, 8, 8, 2
 #: Numbers of 64 bits in a sketch, and how many bits of two sketches may differ. At a similarity of 0.8 a bit differs
 #: with probability 0.1, so 59 of 320 are five standard deviations above what is expected.
 SKETCH, APART = 5, 59
+#: Rounds of centres, and the most texts and bytes of shingle sets that a block of a large bucket has on average.
+ROUNDS, BLOCK, BLOCK_BYTES = 2, 128, 1 << 21
 _U = np.uint64
 
 
@@ -146,10 +149,62 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return map_batches(both.select("a", "b", "sa", "sb"), run, schema)
 
 
+def _linked(sets: list[np.ndarray], others: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each of ``sets`` and each of ``others``, both without empty ones: is their Jaccard similarity at least this?"""
+    n, m = np.array([len(x) for x in sets]), np.array([len(x) for x in others])
+    known, at = np.unique(np.concatenate(others), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum(m)[:-1]])
+    out = np.zeros((len(sets), len(others)), bool)
+    for i, x in enumerate(sets):
+        if (np.minimum(n[i], m) >= similarity * np.maximum(n[i], m)).any():
+            place = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            has = np.zeros(len(known), np.int64)
+            has[place[known[place] == x]] = 1
+            common = np.add.reduceat(has[at], begins)
+            out[i] = common >= similarity * (n[i] + m - common) - 1e-9
+    return out
+
+
+def _links_of_blocks(rows: pa.Table) -> pa.Table:
+    """Links between two blocks of a bucket, or in one if there is one, of texts in different classes."""
+    uid, root, block = (rows.column(k).to_numpy() for k in ("uid", "root", "block"))
+    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("set")]
+    one = np.flatnonzero(block == block.min())
+    two = one if len(one) == len(block) else np.flatnonzero(block == block.max())
+    found = _linked([sets[i] for i in one], [sets[i] for i in two]) & (root[one][:, None] != root[two])
+    x, y = np.nonzero(found)
+    a, b = uid[one[x]], uid[two[y]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def links_between_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of all pairs of ``members`` (key, uid, root) that share a key but no root. ``sets``: uid, set.
+
+    The largest class of a bucket and the rest are cut into blocks by a hash; every block of the rest meets every block,
+    each two of them as a group of their own, so no task has a bucket as a whole. Work is the product of rest and bucket.
+    """
+    many = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    sized = materialize(members.join(many, "key").join(sets.select("uid", F.length("set").alias("bytes")), "uid"), "between")
+    of_class = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    pieces = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    main = F.max(F.struct("n", "root", "bytes"))
+    plan = of_class.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    plan = plan.select("key", F.col("main.root").alias("main"), pieces(F.col("main.n"), F.col("main.bytes")).alias("of_main"), pieces(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("of_rest"))
+    rest = F.col("root") != F.col("main")
+    spread = F.xxhash64("uid", F.lit(1))
+    block = F.when(rest, F.pmod(spread, F.col("of_rest"))).otherwise(F.col("of_rest") + F.pmod(spread, F.col("of_main"))).cast("int")
+    last = F.when(rest, F.col("of_rest") + F.col("of_main")).otherwise(F.col("of_rest")) - 1
+    placed = sized.join(plan, "key").select("key", "uid", "root", block.alias("block"), last.alias("last")).join(sets, "uid")
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    meets = meets.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "root", "block", "set")
+    return meets.groupBy("key", "i", "j").applyInArrow(_links_of_blocks, "a long, b long").distinct()
+
+
 def links_in_buckets(members: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairs_up_to: int = PAIRS_UP_TO, centres: int = CENTRES) -> list[DataFrame]:
     """Verified links among ``members`` (key, uid) that share a key; stored tables, one for each round. ``sketches``: uid, sketch."""
     out, alive, wanted = [], members, None
-    while True:
+    class_of = lambda df, col: df.join(roots.select(F.col("node").alias(col), "root"), col, "left").withColumn("root", F.coalesce("root", col))
+    for turns in range(ROUNDS):
         sizes = alive.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = materialize(alive.join(sizes, "key"), "buckets")
         if wanted is None:  # later rounds have no other members
@@ -165,16 +220,21 @@ def links_in_buckets(members: DataFrame, sketches: DataFrame, sets_of: Callable[
         pairs = met.select(F.least("uid", "c").alias("a"), F.greatest("uid", "c").alias("b")).distinct()
         out.append(materialize(verified(pairs, wanted), "links"))
         large = shared.where(F.col("n") > pairs_up_to).select("key", "uid")
+        if turns == 0:
+            whole = large
         if not large.limit(1).count():
-            return out
+            break
         # What is in no class of its bucket's centres goes on.
         roots = components(reduce(DataFrame.union, out))
-        class_of = lambda df, col: df.join(roots.select(F.col("node").alias(col), "root"), col, "left").withColumn("root", F.coalesce("root", col))
         taken = class_of(tops.select("key", "c").join(large.select("key").distinct(), "key", "left_semi"), "c").select("key", "root").distinct()
         alive = materialize(class_of(large, "uid").join(taken, ["key", "root"], "left_anti").select("key", "uid"), "left")
         if not alive.limit(1).count():
-            return out
+            break
         centres *= 4
+    if whole.limit(1).count():
+        roots = components(reduce(DataFrame.union, out))
+        out.append(materialize(links_between_classes(class_of(whole, "uid"), wanted), "links"))
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -350,6 +350,23 @@ def test_classes_of_large_buckets(spark, monkeypatch):
     assert len({*want.values()}) < 20
 
 
+def test_classes_of_separately_edited_copies(spark):
+    """Copies that are like their original alone are in its class: brute force over all pairs."""
+    r = random.Random(12)
+    source = [f"s{r.randrange(10**6)}" for _ in range(400)]
+    rows = [(1000, " ".join(source))]
+    for i in range(200):
+        w = list(source)
+        for k in r.sample(range(5, 395), r.choice([6, 7, 8])):
+            w[k] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.8 <= like(1000, i) < 0.88 for i in range(200)) and sum(like(a, b) >= 0.8 for a in range(200) for b in range(a)) < 20
+    d = stored(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC).repartition(3))
+    assert {x.class_id for x in neardup.near_duplicates(d).collect()} == {0}
+
+
 def test_classes_of_odd_rows(spark):
     d = stored(odd_docs(spark))
     rows = neardup.near_duplicates(d).collect()
