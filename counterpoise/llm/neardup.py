@@ -1,7 +1,7 @@
 """Near-duplicate documents by ProbMinHash on weighted word shingles.
 
 Every shingle of five words starts a Poisson process whose rate is its weight (one plus the
-logarithm of its count in the text); each arrival falls on one of ``BANDS * ROWS`` components, and a
+logarithm of its count in the text, and once more one for all); each arrival falls on one of ``BANDS * ROWS`` components, and a
 component keeps the shingle that arrived first. Two texts agree in a component with their
 probability Jaccard similarity. A text's arrivals end early: once every component is taken, no
 arrival after the latest of these first times can matter.
@@ -79,16 +79,32 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return words, bounds, hashes[at], of[at], np.diff(np.append(at, len(new)))
 
 
-def features(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: digest of its words, band keys, sketch (a bit of each component, as numbers), whether it has a word."""
-    words, bounds, hashes, of, counts = shingle_sets(texts)
-    sig = prob_min_hash(hashes, 1 + np.log(counts), of, len(texts))
-    keys = np.zeros((len(texts), BANDS), _U)
+def band_keys(sig: np.ndarray) -> list[list[int]]:
+    keys = np.zeros((len(sig), BANDS), _U)
     for r in range(ROWS):
         keys = mix(keys * GOLD + sig[:, r::ROWS][:, :BANDS] + np.arange(BANDS, dtype=_U))
+    return keys.view(np.int64).tolist()
+
+
+def features(texts: list[str]) -> tuple[list[bytes], list[list[int]], np.ndarray, np.ndarray]:
+    """Of each text: digest of its words, band keys, sketch (a bit of each component, as numbers), whether it has a word.
+
+    Keys and sketch are of the shingles with equal weights, as links are; a text that repeats a shingle has the
+    keys of its weighted signature too. Without repeats both signatures are the same.
+    """
+    words, bounds, hashes, of, counts = shingle_sets(texts)
+    sig = prob_min_hash(hashes, np.ones(len(hashes)), of, len(texts))
+    keys = band_keys(sig)
+    repeats = np.zeros(len(texts), bool)
+    repeats[of[counts > 1]] = True
+    if repeats.any():
+        own = repeats[of]
+        weighted = prob_min_hash(hashes[own], 1 + np.log(counts[own]), (np.cumsum(repeats) - 1)[of[own]], int(repeats.sum()))
+        for i, more in zip(np.flatnonzero(repeats).tolist(), band_keys(weighted), strict=True):
+            keys[i] = sorted({*keys[i], *more})
     digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     sketch = np.packbits((mix(sig[:, : 64 * SKETCH] + GOLD) & _U(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, SKETCH)
-    return digests, keys.view(np.int64), sketch, np.diff(bounds) > 0
+    return digests, keys, sketch, np.diff(bounds) > 0
 
 
 def packed_sets(texts: list[str]) -> list[bytes]:
@@ -112,7 +128,7 @@ def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for begin, texts in slices(batch.column(2), 1 << 18):
                 digests, keys, sketch, some = features(texts)
                 part = batch.slice(begin, len(texts))
-                rows = pa.array([k if ok else None for k, ok in zip(keys.tolist(), some, strict=True)], pa.list_(pa.int64()))
+                rows = pa.array([k if ok else None for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([d if ok else None for d, ok in zip(digests, some, strict=True)], pa.binary()), rows, pa.array(sketch.tolist(), pa.list_(pa.int64()))], names=schema.names)
 
     return map_batches(source, run, schema)

@@ -350,6 +350,18 @@ def test_classes_of_large_buckets(spark, monkeypatch):
     assert len({*want.values()}) < 20
 
 
+def test_copies_that_repeat_a_passage_are_candidates():
+    """Alike as sets but not as weighted sets: one copy has 60 of its words twenty times."""
+    r = random.Random(3)
+    for _ in range(20):
+        word = lambda: f"w{r.randrange(10**9)}"
+        text, passage = [word() for _ in range(340)], [word() for _ in range(60)]
+        (a, b), sketch = neardup.features([" ".join(text), " ".join(text + passage * 20)])[1:3]
+        x, y = (np.frombuffer(s, "<u4") for s in neardup.packed_sets([" ".join(text), " ".join(text + passage * 20)]))
+        assert neardup.SIMILARITY < len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.86
+        assert {*map(int, a)} & {*map(int, b)} and np.bitwise_count((sketch[0] ^ sketch[1]).view(np.uint64)).sum() <= neardup.APART
+
+
 def test_classes_of_separately_edited_copies(spark):
     """Copies that are like their original alone are in its class: brute force over all pairs."""
     r = random.Random(12)
