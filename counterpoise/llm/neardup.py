@@ -256,9 +256,9 @@ def links_in_buckets(members: DataFrame, sketches: DataFrame, sets_of: Callable[
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` must give its rows in the same order each time it is read, as stored tables do: it is read twice.
 
-    One row for each row of ``docs``: uid, id, class_id (the least id of its class), kept (it is the first of its class), class_size, n_links.
+    One row for each row of ``docs``: uid, id, class_id (the least id of its class), kept (it is the first of its class), class_size, links_checked.
 
-    ``n_links`` counts the verified links of its text to other texts, and ``uid`` numbers the rows of ``docs``.
+    ``links_checked`` counts the links of its text among the pairs that were checked, not all links of a large class, and ``uid`` numbers the rows of ``docs``.
     Rows whose text has no word (null, empty, only marks) are classes of their own. Of rows with the same id the
     first in the table comes first; null ids come last and give a null class_id if all of the class are null.
     An empty table gives an empty result.
@@ -271,17 +271,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = reps.select("uid", F.explode("bands").alias("key"))
     links = materialize(reduce(DataFrame.union, links_in_buckets(members, worded.select("uid", "sketch"), lambda wanted: document_sets(docs, text_col, wanted))).distinct(), "links")
     roots = components(links).select(F.col("node").alias("first"), "root")
-    degree = links.select(F.col("a").alias("first")).union(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    known = firsts.join(roots, "first", "left").join(degree, "first", "left").select("digest", F.coalesce("root", "first").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = feats.select("uid", "id", "digest").join(known, "digest", "left").select("uid", "id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    degree = links.select(F.col("a").alias("first")).union(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("links_checked"))
+    known = firsts.join(roots, "first", "left").join(degree, "first", "left").select("digest", F.coalesce("root", "first").alias("root"), F.coalesce("links_checked", F.lit(0)).alias("links_checked"))
+    rows = feats.select("uid", "id", "digest").join(known, "digest", "left").select("uid", "id", F.coalesce("root", "uid").alias("root"), F.coalesce("links_checked", F.lit(0)).cast("long").alias("links_checked"))
     rows = materialize(rows, "rows")
     heads = materialize(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size")), "heads")
-    return rows.join(heads, "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size", "n_links")
+    return rows.join(heads, "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size", "links_checked")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """The class of every document; see ``classes``."""
-    return classes(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "kept", "class_size", "n_links")
+    return classes(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "kept", "class_size", "links_checked")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

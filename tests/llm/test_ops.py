@@ -379,6 +379,10 @@ def test_classes_of_separately_edited_copies(spark):
     assert {x.class_id for x in neardup.near_duplicates(d).collect()} == {0}
 
 
+def test_link_counts_are_named_as_checked(spark):
+    assert neardup.near_duplicates(empty_docs(spark)).columns == ["doc_id", "class_id", "kept", "class_size", "links_checked"]
+
+
 def test_classes_of_odd_rows(spark):
     d = stored(odd_docs(spark))
     rows = neardup.near_duplicates(d).collect()
