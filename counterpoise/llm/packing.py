@@ -254,7 +254,8 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, least: int,
 def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3_000) -> Packing:
     """Fillings and repetitions that hold all of ``counts``, in as few bins as the search finds.
 
-    Optimal when it meets ``lower_bound`` or when the search ends within ``nodes`` steps.
+    Optimal when it meets ``lower_bound``. Otherwise nothing is proved, even if the search ends within ``nodes`` steps:
+    each bin is given only the best few fillings of a search of limited length, used as often as counts allow.
     """
     counts = {int(k): int(n) for k, n in counts.items() if n > 0}
     if any(not 0 < k <= capacity for k in counts):
