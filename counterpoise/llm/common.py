@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +20,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Only a local session, which has one machine, may leave it unnamed."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: tables in a machine's own folder are read back incomplete")
         named = tempfile.mkdtemp(prefix="counterpoise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Stored tables that are made inside go at the end, whether it ends well or not."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in made:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of files and not a rerun of
-    what made them, and several readers share one computation.
+    what made them, and several readers share one computation. The shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (made := _scope.get()) is not None:
+        made.append(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before or "false")
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` stored with a number for each row, so that all later readers see the same number beside the same row.
+
+    A number that is computed anew in each reading follows how the files are split among tasks, and that
+    changes with the executors at hand.
+    """
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 #: The most rows that an Arrow batch of texts may have: texts can be long, and a batch is held twice.
@@ -64,13 +116,19 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
-#: The most rows of a few numbers that a join may send to every executor; beyond it both sides are exchanged.
-BROADCAST_ROWS = 400_000
+#: The most rows, and the most characters as JSON, of a table that a join may send to every executor; beyond them both sides are exchanged.
+BROADCAST_ROWS, BROADCAST_CHARS = 400_000, 64_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a stored table is within the bounds of a broadcast, by its rows and by what they hold."""
+    n, chars = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*(q(c) for c in df.columns)))))).first()
+    return n <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcasting if a count shows that it has at most ``BROADCAST_ROWS``."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A stored table, marked for broadcasting if it is within the bounds."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def held_out(doc_id: Column | str) -> Column:

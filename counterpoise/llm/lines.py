@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import fresh, map_batches, materialize, slices, small
+from counterpoise.llm.common import discard, fresh, map_batches, materialize, q, slices, small, with_row_ids
 from counterpoise.llm.shingles import GOLD, _power_tables, mix
 
 MIN_CHARS, SLICE = 20, 1 << 21
@@ -115,8 +115,9 @@ def variants(lines: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(of), np.concatenate(keys).view(np.int64), np.concatenate(roles).astype(np.int32)
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, uid_col: str | None = None) -> DataFrame:
+    uid = F.monotonically_increasing_id() if uid_col is None else q(uid_col)
+    source = docs.select(uid.alias("uid"), q(id_col).alias("id"), q(text_col).alias("text"))
     long = T.LongType()
     schema = T.StructType([source.schema["uid"], source.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("d1", long), T.StructField("d2", long), T.StructField("halves", T.ArrayType(long)), T.StructField("norm", T.StringType())])
 
@@ -177,13 +178,14 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
     return map_batches(lines.select("none", "id", "uid", "line", "norm", "shared"), run, schema)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, uid_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: uid, id, n_lines, exact and near, the numbers (from 0) of the lines that go.
 
+    ``uid`` is the stored column ``uid_col``, or else a number that holds for this result alone.
     Null texts count as one empty line. Repeated rows lose their lines to the first of them; null ids rank
     last. An empty table gives an empty result.
     """
-    rows = materialize(line_rows(docs, id_col, text_col, min_chars), "lines")
+    rows = materialize(line_rows(docs, id_col, text_col, min_chars, uid_col), "lines")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "line")
     first = F.row_number().over(Window.partitionBy("d1", "d2").orderBy(rank))
     firsts = materialize(rows.where(F.col("kind") == OPEN).select("uid", "id", "line", "d1", "d2", "halves", first.alias("n")).withColumn("halves", F.when(F.col("n") == 1, F.col("halves"))), "firsts")
@@ -200,7 +202,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = partner.select("uid", "line", F.col("other.uid").alias("o_uid"), F.col("other.line").alias("o_line"))
     norm = texts.select("uid", "line", "norm")
     pairs = pairs.join(norm, ["uid", "line"]).join(norm.select(F.col("uid").alias("o_uid"), F.col("line").alias("o_line"), F.col("norm").alias("o_norm")), ["o_uid", "o_line"])
-    near = pairs.where(F.levenshtein("norm", "o_norm", 1) >= 0).select("uid", "line")
+    near = materialize(pairs.where(F.levenshtein("norm", "o_norm", 1) >= 0).select("uid", "line"), "near")
+    discard(sharing, texts, met)
 
     nothing = F.lit(None)
     marked = (
@@ -213,7 +216,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """Of each document: how many lines it has, how many go as exact and as near repeats, and their numbers joined by commas."""
+    """Of each document: how many lines it has, how many go as exact and as near repeats, and their numbers joined by commas.
+
+    A null text is one empty line; null and repeated doc_ids are rows like any other, and of equal lines the one with
+    the least (doc_id, row, line) stays; an empty table gives an empty result.
+    """
     found = repeated_lines(docs.select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.concat_ws(",", F.sort_array(F.concat("exact", "near")).cast("array<string>")).alias("removed"))
 
@@ -221,13 +228,15 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines. A document that had a counted line and keeps nothing but blank lines goes.
 
-    ``docs`` must be a stored table, which gives its rows in the same order each time.
+    Null and empty texts and other columns stay as they are; of repeated rows the first keeps its lines. An empty
+    table gives an empty result. The rows are numbered once, in a stored table.
     """
     n = fresh(docs, "_uid", "_gone")
-    found = repeated_lines(docs, id_col, text_col).select(F.col("uid").alias(n["_uid"]), F.concat("exact", "near").alias(n["_gone"])).where(F.size(n["_gone"]) > 0)
-    joined = docs.withColumn(n["_uid"], F.monotonically_increasing_id()).join(found, n["_uid"], "left")
-    gone = F.col(n["_gone"])
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    out = joined.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(kept))
-    out = out.where(gone.isNull() | (F.length(F.trim(F.translate(F.col(text_col), "\n\t\r", ""))) > 0))
-    return out.select(*docs.columns)
+    rows = with_row_ids(docs, n["_uid"])
+    found = repeated_lines(rows, id_col, text_col, uid_col=n["_uid"]).select(F.col("uid").alias(n["_uid"]), F.concat("exact", "near").alias(n["_gone"])).where(F.size(n["_gone"]) > 0)
+    joined = rows.join(found, n["_uid"], "left")
+    gone, text = F.col(n["_gone"]), q(text_col)
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = joined.withColumn(text_col, F.when(gone.isNull(), text).otherwise(kept))
+    out = out.where(gone.isNull() | (F.length(F.trim(F.translate(text, "\n\t\r", ""))) > 0))
+    return out.select(*(q(c) for c in docs.columns))
