@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.llm.common import materialize
+from counterpoise.llm.common import discard, materialize
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -23,10 +23,13 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         steps.append(parents)
         from_x = parents.select("x", F.col("p").alias("px"))
         from_y = parents.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        edges = materialize(edges.join(from_x, "x").join(from_y, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct(), "edges")
+        before, edges = edges, materialize(edges.join(from_x, "x").join(from_y, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct(), "edges")
+        discard(before)
         if not edges.limit(1).count():
             break
     out = steps[0].select(F.col("x").alias("node"), F.col("p").alias("root"))
     for step in steps[1:]:
         out = out.join(step.select(F.col("x").alias("root"), F.col("p").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return materialize(out, "roots")
+    out = materialize(out, "roots")
+    discard(edges, *steps)
+    return out

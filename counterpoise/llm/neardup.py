@@ -6,19 +6,21 @@ component keeps the shingle that arrived first. Two texts agree in a component w
 probability Jaccard similarity. A text's arrivals end early: once every component is taken, no
 arrival after the latest of these first times can matter.
 
-Texts with equal words are one class from the start and only its first document goes on. Documents
-that agree in all components of a band, and in most bits of a sketch of the signature, are candidates; they
-are linked if at least 0.8 of their shingles, as sets, are common to both. A bucket of up to ``PAIRS_UP_TO`` documents compares all its pairs.
-A larger one compares every member with ``CENTRES`` of them; then all that are in no class with one of these,
-by whatever links, do so among themselves with four times as many. Last, all pairs of a large bucket that are not in one
-class by then are compared in blocks. So every pair of a bucket is in one class or was compared. Classes are the components of all links.
+Two texts are linked if at least 0.8 of their shingles, as sets, are common to both. So candidates are drawn by
+the signature of the shingles with equal weights, which estimates just that; a text that repeats a shingle has
+the bands of its weighted signature too.
+
+Texts with equal words are one class from the start and only its first document goes on. Documents that agree in
+all components of a band share a bucket. A bucket of up to ``PAIRS_UP_TO`` documents compares all its pairs. In a
+larger one every member first meets the ``CENTRES`` members that are most like the bucket as a whole, as an original is
+among its edited copies; most of a bucket then is one class. What isn't is compared exactly, all pairs of different
+classes, in blocks. So every pair of a bucket is in one class or was compared. Classes are the components of all links.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import fresh, map_batches, materialize, slices, small
+from counterpoise.llm.common import discard, fresh, map_batches, materialize, q, slices, small, with_row_ids
 from counterpoise.llm.components import components
 from counterpoise.llm.shingles import GOLD, mix, shingle_hashes, word_hashes
 
 SIZE, SIMILARITY = 5, 0.8
-BANDS, ROWS, PAIRS_UP_TO, CENTRES = 40, 8, 8, 2
+BANDS, ROWS, PAIRS_UP_TO, CENTRES = 40, 8, 8, 4
 #: Numbers of 64 bits in a sketch, and how many bits of two sketches may differ. At a similarity of 0.8 a bit differs
 #: with probability 0.1, so 59 of 320 are five standard deviations above what is expected.
 SKETCH, APART = 5, 59
-#: Rounds of centres, and the most texts and bytes of shingle sets that a block of a large bucket has on average.
-ROUNDS, BLOCK, BLOCK_BYTES = 2, 128, 1 << 21
+#: Bits of the sketch that tell how like its bucket a member is.
+MAJORITY = 32
+#: The most texts and bytes of shingle sets that a block of a large bucket has on average.
+BLOCK, BLOCK_BYTES = 128, 1 << 21
 _U = np.uint64
 
 
@@ -86,8 +90,8 @@ def band_keys(sig: np.ndarray) -> list[list[int]]:
     return keys.view(np.int64).tolist()
 
 
-def features(texts: list[str]) -> tuple[list[bytes], list[list[int]], np.ndarray, np.ndarray]:
-    """Of each text: digest of its words, band keys, sketch (a bit of each component, as numbers), whether it has a word.
+def features(texts: list[str]) -> tuple[list[bytes], list[list[int]], np.ndarray, np.ndarray, list[bytes]]:
+    """Of each text: digest of its words, band keys, sketch (a bit of each component, as numbers), whether it has a word, packed shingle set.
 
     Keys and sketch are of the shingles with equal weights, as links are; a text that repeats a shingle has the
     keys of its weighted signature too. Without repeats both signatures are the same.
@@ -104,48 +108,39 @@ def features(texts: list[str]) -> tuple[list[bytes], list[list[int]], np.ndarray
             keys[i] = sorted({*keys[i], *more})
     digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     sketch = np.packbits((mix(sig[:, : 64 * SKETCH] + GOLD) & _U(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, SKETCH)
-    return digests, keys, sketch, np.diff(bounds) > 0
+    return digests, keys, sketch, np.diff(bounds) > 0, _packed(hashes, of, len(texts))
 
 
-def packed_sets(texts: list[str]) -> list[bytes]:
-    """The sorted 32-bit shingle hashes of each text."""
-    _, _, hashes, of, _ = shingle_sets(texts)
-    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+def _packed(hashes: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
+    """The sorted 32-bit shingle hashes of each of ``n`` texts."""
+    cuts = np.searchsorted(of, np.arange(n + 1))
     short = (hashes >> _U(32)).astype("<u4")
     return [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def packed_sets(texts: list[str]) -> list[bytes]:
+    _, _, hashes, of, _ = shingle_sets(texts)
+    return _packed(hashes, of, len(texts))
 
 
-def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = _numbered(docs, id_col, text_col)
-    schema = T.StructType([source.schema["uid"], source.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+def document_features(docs: DataFrame, id_col: str, text_col: str, uid_col: str | None = None) -> DataFrame:
+    """uid, id, and of texts with a word digest, bands, sketch and set. One reading of ``docs``; what follows reads this table, stored."""
+    uid = F.monotonically_increasing_id() if uid_col is None else q(uid_col)
+    source = docs.select(uid.alias("uid"), q(id_col).alias("id"), q(text_col).alias("text"))
+    many = T.ArrayType(T.LongType())
+    schema = T.StructType([source.schema["uid"], source.schema["id"], *(T.StructField(n, k) for n, k in (("digest", T.BinaryType()), ("bands", many), ("sketch", many), ("set", T.BinaryType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in slices(batch.column(2), 1 << 18):
-                digests, keys, sketch, some = features(texts)
+                digests, keys, sketch, some, sets = features(texts)
                 part = batch.slice(begin, len(texts))
-                rows = pa.array([k if ok else None for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([d if ok else None for d, ok in zip(digests, some, strict=True)], pa.binary()), rows, pa.array(sketch.tolist(), pa.list_(pa.int64()))], names=schema.names)
+                only = lambda xs, kind: pa.array([x if ok else None for x, ok in zip(xs, some, strict=True)], kind)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), only(digests, pa.binary()), only(keys, pa.list_(pa.int64())), only(sketch.tolist(), pa.list_(pa.int64())), only(sets, pa.binary())], names=schema.names)
 
     return map_batches(source, run, schema)
 
 
-def document_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """uid and shingle set of the rows in ``wanted`` (uid), made anew from their texts: only candidates need one."""
-    source = _numbered(docs, text_col, text_col).select("uid", "text").join(small(wanted), "uid", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, texts in slices(batch.column(1), 1 << 18):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(packed_sets(texts), pa.binary())], names=["uid", "set"])
-
-    return map_batches(source, run, "uid long, set binary")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs ``a``, ``b`` whose shingle sets have at least this Jaccard similarity. ``sets``: uid, set."""
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
@@ -216,76 +211,81 @@ def links_between_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return meets.groupBy("key", "i", "j").applyInArrow(_links_of_blocks, "a long, b long").distinct()
 
 
-def links_in_buckets(members: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pairs_up_to: int = PAIRS_UP_TO, centres: int = CENTRES) -> list[DataFrame]:
-    """Verified links among ``members`` (key, uid) that share a key; stored tables, one for each round. ``sketches``: uid, sketch."""
-    out, alive, wanted = [], members, None
-    class_of = lambda df, col: df.join(roots.select(F.col("node").alias(col), "root"), col, "left").withColumn("root", F.coalesce("root", col))
-    for turns in range(ROUNDS):
-        sizes = alive.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = materialize(alive.join(sizes, "key"), "buckets")
-        if wanted is None:  # later rounds have no other members
-            candidates = materialize(shared.select("uid").distinct(), "candidates")
-            wanted = materialize(sets_of(candidates), "sets")
-            known = materialize(sketches.join(candidates, "uid", "left_semi"), "sketches")
-        shared = materialize(shared.join(known, "uid"), "members")
-        turn = Window.partitionBy("key").orderBy(F.xxhash64("uid"), "uid")
-        tops = shared.select("key", F.col("uid").alias("c"), F.col("sketch").alias("c_sketch"), "n", F.row_number().over(turn).alias("k")).where(F.col("k") <= max(centres, pairs_up_to))
-        tops = tops.where((F.col("n") <= pairs_up_to) | (F.col("k") <= centres)).select("key", "c", "c_sketch")
-        apart = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("c_sketch")[k])) for k in range(SKETCH)), F.lit(0))
-        met = shared.join(tops, "key").where((F.col("uid") != F.col("c")) & (apart <= APART))
-        pairs = met.select(F.least("uid", "c").alias("a"), F.greatest("uid", "c").alias("b")).distinct()
-        out.append(materialize(verified(pairs, wanted), "links"))
-        large = shared.where(F.col("n") > pairs_up_to).select("key", "uid")
-        if turns == 0:
-            whole = large
-        if not large.limit(1).count():
-            break
-        # What is in no class of its bucket's centres goes on.
-        roots = components(reduce(DataFrame.union, out))
-        taken = class_of(tops.select("key", "c").join(large.select("key").distinct(), "key", "left_semi"), "c").select("key", "root").distinct()
-        alive = materialize(class_of(large, "uid").join(taken, ["key", "root"], "left_anti").select("key", "uid"), "left")
-        if not alive.limit(1).count():
-            break
-        centres *= 4
-    if whole.limit(1).count():
-        roots = components(reduce(DataFrame.union, out))
-        out.append(materialize(links_between_classes(class_of(whole, "uid"), wanted), "links"))
-    return out
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` must give its rows in the same order each time it is read, as stored tables do: it is read twice.
-
-    One row for each row of ``docs``: uid, id, class_id (the least id of its class), kept (it is the first of its class), class_size, links_checked.
+def _centres(members: DataFrame, centres: int, pairs_up_to: int) -> DataFrame:
+    """key, c, c_sketch: all members of a small bucket, and of a large one those that share most bits with its majority.
 
-    ``links_checked`` counts the links of its text among the pairs that were checked, not all links of a large class, and ``uid`` numbers the rows of ``docs``.
+    ``members``: key, uid, n, sketch. Ties go by a hash of uid.
+    """
+    bit = lambda k: F.shiftright(F.col("sketch")[0], k).bitwiseAND(F.lit(1))
+    large = members.where(F.col("n") > pairs_up_to)
+    most = large.groupBy("key").agg(*(F.sum(bit(k)).alias(f"b{k}") for k in range(MAJORITY)), F.count(F.lit(1)).alias("m"))
+    word = sum((F.when(F.col(f"b{k}") * 2 > F.col("m"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(MAJORITY)), F.lit(0).cast("long"))
+    like = F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("majority")).bitwiseAND(F.lit((1 << MAJORITY) - 1)))
+    turn = Window.partitionBy("key").orderBy(like, F.xxhash64("uid"), "uid")
+    tops = large.join(most.select("key", word.alias("majority")), "key").select("key", "uid", "sketch", F.row_number().over(turn).alias("k")).where(F.col("k") <= centres)
+    few = members.where(F.col("n") <= pairs_up_to)
+    return few.select("key", "uid", "sketch").unionByName(tops.drop("k")).select("key", F.col("uid").alias("c"), F.col("sketch").alias("c_sketch"))
+
+
+def linked_classes(members: DataFrame, feats: DataFrame, pairs_up_to: int = PAIRS_UP_TO, centres: int = CENTRES) -> DataFrame:
+    """node and root, the least uid of its class, of all that are linked with another of ``members`` (key, uid). ``feats``: uid, sketch, set."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(members.join(sizes, "key"), "buckets")
+    candidates = materialize(shared.select("uid").distinct(), "candidates")
+    known = materialize(feats.select("uid", "sketch", "set").join(small(candidates), "uid", "left_semi"), "sets")
+    sets = known.select("uid", "set")
+    drawn = shared.join(known.select("uid", "sketch"), "uid")
+    apart = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("c_sketch")[k])) for k in range(SKETCH)), F.lit(0))
+    met = drawn.join(_centres(drawn, centres, pairs_up_to), "key").where((F.col("uid") != F.col("c")) & (apart <= APART))
+    pairs = met.select(F.least("uid", "c").alias("a"), F.greatest("uid", "c").alias("b")).distinct()
+    links = materialize(verified(pairs, sets), "links")
+    first = components(links)
+    large = shared.where(F.col("n") > pairs_up_to).select("key", "uid")
+    placed = large.join(first.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
+    more = materialize(links_between_classes(placed, sets), "links")
+    discard(candidates, links)
+    if not more.limit(1).count():
+        return first
+    # The classes that these links join, by their roots.
+    root = lambda end: F.coalesce(F.col(f"r{end}"), F.col(end)).alias(end)
+    of = lambda end: first.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    second = components(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(root("a"), root("b")).distinct())
+    joined = first.select("node", F.col("root").alias("mid")).join(second.select(F.col("node").alias("mid"), "root"), "mid", "left").select("node", F.coalesce("root", "mid").alias("root"))
+    alone = second.join(first.select("node"), "node", "left_anti")
+    return joined.unionByName(alone)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: uid, id, class_id (the least id of its class), kept (it is the first of its class), class_size.
+
+    ``uid`` is the stored column ``uid_col``, or else a number that holds for this result alone; ``docs`` is read once.
     Rows whose text has no word (null, empty, only marks) are classes of their own. Of rows with the same id the
     first in the table comes first; null ids come last and give a null class_id if all of the class are null.
     An empty table gives an empty result.
     """
-    feats = materialize(document_features(docs, id_col, text_col), "features")
+    feats = materialize(document_features(docs, id_col, text_col, uid_col), "features")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     worded = feats.where("digest is not null")
     firsts = materialize(worded.groupBy("digest").agg(F.min(order).alias("f")).select("digest", F.col("f.uid").alias("first")), "firsts")
     reps = worded.join(firsts.select(F.col("first").alias("uid")), "uid", "left_semi")
-    members = reps.select("uid", F.explode("bands").alias("key"))
-    links = materialize(reduce(DataFrame.union, links_in_buckets(members, worded.select("uid", "sketch"), lambda wanted: document_sets(docs, text_col, wanted))).distinct(), "links")
-    roots = components(links).select(F.col("node").alias("first"), "root")
-    degree = links.select(F.col("a").alias("first")).union(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("links_checked"))
-    known = firsts.join(roots, "first", "left").join(degree, "first", "left").select("digest", F.coalesce("root", "first").alias("root"), F.coalesce("links_checked", F.lit(0)).alias("links_checked"))
-    rows = feats.select("uid", "id", "digest").join(known, "digest", "left").select("uid", "id", F.coalesce("root", "uid").alias("root"), F.coalesce("links_checked", F.lit(0)).cast("long").alias("links_checked"))
-    rows = materialize(rows, "rows")
-    heads = materialize(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size")), "heads")
-    return rows.join(heads, "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size", "links_checked")
+    roots = linked_classes(reps.select("uid", F.explode("bands").alias("key")), worded).select(F.col("node").alias("first"), "root")
+    known = firsts.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("root"))
+    rows = worded.select("uid", "id", "digest").join(known, "digest").select("uid", "id", "root").unionByName(feats.where("digest is null").select("uid", "id", F.col("uid").alias("root")))
+    rows = materialize(rows, "classes")
+    heads = rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size"))
+    out = rows.join(heads, "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size")
+    discard(feats, firsts)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The class of every document; see ``classes``."""
-    return classes(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "kept", "class_size", "links_checked")
+    """The class of every document. Null, empty and repeated rows and empty tables are as ``classes`` says."""
+    return classes(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "kept", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of each class, with the columns of ``docs``. ``docs`` must be a stored table, read in the same order each time."""
+    """The first document of each class, with the columns of ``docs``; texts without a word all stay. The rows are numbered once, in a stored table."""
     uid = fresh(docs, "_uid")["_uid"]
-    kept = classes(docs, id_col, text_col).where("kept").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").select(*docs.columns)
+    rows = with_row_ids(docs, uid)
+    gone = materialize(classes(rows, id_col, text_col, uid).where(~F.col("kept")).select(F.col("uid").alias(uid)), "copies")
+    return rows.join(small(gone), uid, "left_anti").select(*(q(c) for c in docs.columns))
