@@ -345,7 +345,7 @@ def test_classes_of_large_buckets(spark, monkeypatch):
     rows = [(i, " ".join(w if r.random() > 0.004 else "edit" for w in groups[i % 3])) for i in range(90)]
     d = stored(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC))
     want = {x.doc_id: x.class_id for x in neardup.near_duplicates(d).collect()}
-    monkeypatch.setattr(neardup.links_in_buckets, "__defaults__", (2, 1))
+    monkeypatch.setattr(neardup.linked_classes, "__defaults__", (2, 1))
     assert {x.doc_id: x.class_id for x in neardup.near_duplicates(d).collect()} == want
     assert len({*want.values()}) < 20
 
@@ -379,10 +379,6 @@ def test_classes_of_separately_edited_copies(spark):
     assert {x.class_id for x in neardup.near_duplicates(d).collect()} == {0}
 
 
-def test_link_counts_are_named_as_checked(spark):
-    assert neardup.near_duplicates(empty_docs(spark)).columns == ["doc_id", "class_id", "kept", "class_size", "links_checked"]
-
-
 def test_classes_of_odd_rows(spark):
     d = stored(odd_docs(spark))
     rows = neardup.near_duplicates(d).collect()
