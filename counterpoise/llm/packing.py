@@ -2,11 +2,12 @@
 
 Documents become token pieces of at most ``capacity`` ids. Packing needs only how many pieces
 there are of each length, and there are at most ``capacity`` lengths whatever the input's size.
-The driver packs that histogram (``complete``): a best-fit-decreasing packing is the incumbent,
-and a depth-first bin completion tries to beat it. It takes the largest length left, enumerates
-undominated fillings of the room beside it, uses a filling as often as the counts allow, and
-prunes by the waste that a better packing may still have. The result is a list of (filling,
-repetitions). Executors then deal every piece to a slot by its rank among the pieces of its length.
+The driver packs that histogram (``Completion``): a best-fit-decreasing packing is the incumbent,
+and a depth-first bin completion tries to beat it. It takes the largest length left and enumerates all
+undominated fillings of the room beside it, fullest first; each is tried as often as the counts allow
+and then once, and branches are pruned by the waste that a better packing may still have. The search
+leaves nothing out: it can be stopped after a number of steps, tells then how far the incumbent may be from
+the best, and goes on from there if asked to. The result is a list of (filling, repetitions). Executors then deal every piece to a slot by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from counterpoise.llm.common import fresh, map_batches, materialize, q, slices
 
 CAPACITY = 4096
+#: Steps of the search after which the incumbent is taken, with its distance from the bound.
+STEPS = 2_000
 END_ID = 1
 #: Entries a worker's token memo may hold before it sheds what it didn't use of late.
 MEMO = 450_000
@@ -213,106 +216,145 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [x for room in rooms for x in groups[room]]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, least: int, most: int) -> list[tuple[int, ...]]:
-    """Up to ``most`` undominated fillings of ``room`` of at least ``least``, fullest first.
+def _reachable(lengths: list[int], left: list[int], room: int) -> list[int]:
+    """For each place: which sums up to ``room`` the lengths up to there can have, as bits."""
+    sums, out, mask = 1, [], (1 << room + 1) - 1
+    for x, n in zip(lengths, left, strict=True):
+        n = min(n, room // x)
+        step = 1
+        while n > 0:  # 1, 2, 4, ... copies and what is left
+            k = min(step, n)
+            sums |= sums << k * x & mask
+            n -= k
+            step *= 2
+        out.append(sums)
+    return out
 
-    A filling is dominated if a length left out could replace one of its members and still fit, or could
-    be added: the same bin would then hold more.
+
+def fillings(lengths: list[int], left: list[int], room: int, least: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that hold ``least`` or more, fullest first, as they are asked for.
+
+    ``lengths`` in rising order, ``left``: how many there are of each. A filling is dominated if a length left out could
+    replace one of its members and still fit, or could be added: a packing with it is not better than one with the other.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def undominated(chosen: tuple[int, ...], slack: int) -> bool:
-        left = {k: counts[k] - chosen.count(k) for k in {*chosen}}
-        k = bisect_left(lengths, slack + 1)
-        if any(left.get(x, counts[x]) for x in lengths[:k]):
-            return False
-        for x in {*chosen}:
-            a, b = bisect_left(lengths, x + 1), bisect_left(lengths, x + slack + 1)
-            if any(left.get(y, counts[y]) for y in lengths[a:b]):
-                return False
-        return True
-
-    def go(top: int, room_left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 400 or len(found) >= 4 * most or (found and found[0][0] == 0 and len(found) >= most):
+    most = bisect_left(lengths, room + 1)
+    lengths, left = lengths[:most], left[:most]
+    reach = _reachable(lengths, left, room)
+
+    def exactly(top: int, sum_: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not sum_:
+            yield chosen
             return
-        if room - room_left >= least and undominated(chosen, room_left):
-            insort(found, (room_left, chosen))
-        for k in range(bisect_left(lengths, min(top, room_left) + 1) - 1, -1, -1):
-            x = lengths[k]
-            if chosen.count(x) < counts[x]:
-                go(x, room_left - x, (*chosen, x))
-                if steps > 400:
-                    return
+        for k in range(min(top, bisect_left(lengths, sum_ + 1)) - 1, -1, -1):
+            if not reach[k] >> sum_ & 1:
+                return
+            for n in range(min(left[k], sum_ // lengths[k]), 0, -1):
+                rest = sum_ - n * lengths[k]
+                if not rest or k and reach[k - 1] >> rest & 1:
+                    yield from exactly(k, rest, (*chosen, (k, n)))
+
+    def undominated(chosen: tuple[tuple[int, int], ...], slack: int) -> bool:
+        if not slack:
+            return True
+        used = dict(chosen)
+        free = lambda low, high: any(left[k] > used.get(k, 0) for k in range(bisect_left(lengths, low), bisect_left(lengths, high + 1)))
+        return not free(1, slack) and not any(free(lengths[k] + 1, lengths[k] + slack) for k in used)
 
-    go(room, room, ())
-    return [f for _, f in found[:most]]
+    for sum_ in range(room, least - 1, -1):
+        if not sum_:
+            if undominated((), room):
+                yield ()
+        elif reach and reach[-1] >> sum_ & 1:
+            for chosen in exactly(len(lengths), sum_, ()):
+                if undominated(chosen, room - sum_):
+                    yield tuple(lengths[k] for k, n in chosen for _ in range(n))
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3_000) -> Packing:
-    """Fillings and repetitions that hold all of ``counts``, in as few bins as the search finds.
+class Completion:
+    """A search for the fewest bins that hold ``counts`` (length: how many).
 
-    Optimal when it meets ``lower_bound``. Otherwise nothing is proved, even if the search ends within ``nodes`` steps:
-    each bin is given only the best few fillings of a search of limited length, used as often as counts allow.
+    ``packing`` is the best found so far, as fillings and repetitions, ``n_bins`` its bins, ``bound`` what no packing
+    beats; ``proved``: there is none with fewer bins. ``run`` goes on from where the last call stopped.
     """
-    counts = {int(k): int(n) for k, n in counts.items() if n > 0}
-    if any(not 0 < k <= capacity for k in counts):
-        raise ValueError("a length is outside 1..capacity")
-    best = best_fit(counts, capacity)
-    n_best, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total, spent = sum(k * n for k, n in counts.items()), 0
-
-    def search() -> None:
-        """Depth first, undoing each step on the way back, so that one copy of the counts is held."""
-        nonlocal best, n_best, spent
-        left, used, waste = dict(counts), 0, 0
-        path: Packing = []
-        frames: list[Iterator[tuple[int, ...]]] = []
-
-        def enter() -> Iterator[tuple[int, ...]]:
-            nonlocal best, n_best, spent
-            spent += 1
-            lengths = sorted(k for k, n in left.items() if n)
-            if not lengths:
-                if used < n_best:
-                    best, n_best = list(path), used
-                return iter(())
-            may = (n_best - 1) * capacity - total - waste
-            if may < 0 or used + lower_bound_fast(left, capacity) >= n_best:
-                return iter(())
-            big = lengths[-1]
-            left[big] -= 1
-            options = fillings([k for k in lengths if left[k]], left, capacity - big, max(0, capacity - big - may), 6)
-            left[big] += 1
-            return iter([(big, *f) for f in options])
-
-        frames.append(enter())
-        while frames and n_best > bound and spent < nodes:
-            bin_ = next(frames[-1], None)
-            if bin_ is None:
-                frames.pop()
-                if path:
-                    undone, times = path.pop()
-                    used -= times
-                    waste -= (capacity - sum(undone)) * times
-                    for k in undone:
-                        left[k] += times
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
+        counts = {int(k): int(n) for k, n in counts.items() if n > 0}
+        if any(not 0 < k <= capacity for k in counts):
+            raise ValueError("a length is outside 1..capacity")
+        self.capacity, self.total = capacity, sum(k * n for k, n in counts.items())
+        self.packing, self.bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+        self.n_bins = sum(n for _, n in self.packing)
+        self.proved = self.n_bins <= self.bound
+        self.lengths = sorted(counts)
+        self.left = [counts[x] for x in self.lengths]
+        self.place = {x: k for k, x in enumerate(self.lengths)}
+        self.used = self.waste = self.steps = 0
+        self.path: Packing = []
+        self.frames: list[Iterator[tuple[tuple[int, ...], int]]] = []
+
+    def _spare(self) -> int:
+        """The waste that may still come in a packing with fewer bins than the incumbent."""
+        return (self.n_bins - 1) * self.capacity - self.total - self.waste
+
+    def _options(self) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Bins for the largest length left, and how often: all that a better packing may have."""
+        top = len(self.lengths) - 1
+        while top >= 0 and not self.left[top]:
+            top -= 1
+        if top < 0:
+            if self.used < self.n_bins:
+                self.packing, self.n_bins = list(self.path), self.used
+            return
+        rest = {x: n for x, n in zip(self.lengths[: top + 1], self.left, strict=False) if n}
+        if self._spare() < 0 or self.used + lower_bound_fast(rest, self.capacity) >= self.n_bins:
+            return
+        big = self.lengths[top]
+        own = self.left[: top + 1]
+        own[top] -= 1
+        for filling in fillings(self.lengths[: top + 1], own, self.capacity - big, max(0, self.capacity - big - self._spare())):
+            bin_ = (big, *filling)
+            lost = self.capacity - sum(bin_)
+            if lost > self._spare():  # the incumbent is better by now
+                return
+            most = min(self.left[self.place[x]] // bin_.count(x) for x in {*bin_})
+            if lost:
+                most = min(most, self._spare() // lost)
+            if most > 1:
+                yield bin_, most
+            yield bin_, 1
+
+    def _move(self, bin_: tuple[int, ...], times: int) -> None:
+        self.used += times
+        self.waste += (self.capacity - sum(bin_)) * times
+        for x in bin_:
+            self.left[self.place[x]] -= times
+
+    def run(self, steps: int | None = None) -> Packing:
+        """Search for up to ``steps`` more bins on trial, or to the end."""
+        last = None if steps is None else self.steps + steps
+        if not self.proved and not self.frames:
+            self.frames.append(self._options())
+        while self.frames and self.n_bins > self.bound and (last is None or self.steps < last):
+            option = next(self.frames[-1], None)
+            if option is None:
+                self.frames.pop()
+                if self.path:
+                    undone, times = self.path.pop()
+                    self._move(undone, -times)
                 continue
-            times = min(left[k] // bin_.count(k) for k in {*bin_})
-            if lost := capacity - sum(bin_):
-                times = min(times, max(1, ((n_best - 1) * capacity - total - waste) // lost))
-            path.append((bin_, times))
-            used += times
-            waste += lost * times
-            for k in bin_:
-                left[k] -= times
-            frames.append(enter())
-
-    if n_best > bound:
-        search()
-    return best
+            self.steps += 1
+            self.path.append(option)
+            self._move(*option)
+            self.frames.append(self._options())
+        self.proved = self.n_bins <= self.bound or not self.frames
+        return self.packing
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = STEPS) -> Completion:
+    """A search that has run for up to ``steps`` steps (None: to its end)."""
+    search = Completion(counts, capacity)
+    search.run(steps)
+    return search
 
 
 def lower_bound_fast(counts: dict[int, int], capacity: int) -> int:
@@ -337,8 +379,11 @@ def _slots(packing: Packing) -> tuple[list[tuple[int, int, int, list[int], int]]
     return rows, first
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), salts: int | None = None) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to every piece. ``pieces`` must be a stored table: it is read three times.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), salts: int | None = None, steps: int | None = STEPS) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to every piece, and to all ``n_sequences`` and ``n_least``, which no packing beats.
+
+    ``pieces`` must be a stored table: it is read three times. ``steps`` ends the search for fewer sequences; None lets it
+    go on until there is a proof.
 
     Ranks within a length are dealt in two steps, so that one length may hold any share of the rows:
     lengths are split by a hash of ``order`` in ``salts`` runs (the session's shuffle partitions, if not
@@ -352,7 +397,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     salted = pieces.withColumn(n["_salt"], F.pmod(F.xxhash64(*[q(c) for c in order]), F.lit(salts)).cast("int"))
     by_run = salted.groupBy(length.alias(length_col), n["_salt"]).agg(F.count(F.lit(1)).alias(n["_n"]))
     counts = {r[0]: r[1] for r in pieces.groupBy(length).agg(F.count(F.lit(1))).collect()}
-    rows, _ = _slots(complete(counts, capacity))
+    search = complete(counts, capacity, steps)
+    rows, _ = _slots(search.packing)
 
     before = Window.partitionBy(length_col).orderBy(n["_salt"]).rowsBetween(Window.unboundedPreceding, -1)
     bases = by_run.select(length_col, n["_salt"], F.coalesce(F.sum(n["_n"]).over(before), F.lit(0)).alias(n["_base"]))
@@ -380,13 +426,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
                 off.append(offsets[which])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=schema.names)
 
-    return map_batches(ranked, place, schema)
+    least = search.n_bins if search.proved else search.bound
+    return map_batches(ranked, place, schema).withColumns({"n_sequences": F.lit(search.n_bins).cast("long"), "n_least": F.lit(least).cast("long")})
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, steps: int | None = STEPS) -> DataFrame:
     """Tokenize, cut, store the pieces, pack: one row per piece of every document (null text: empty).
 
     An empty table gives an empty result. Null or repeated doc_ids are pieces like any other.
     """
     pieces = materialize(token_pieces(docs, tokenizer, capacity=capacity), "pieces")
-    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, capacity, steps=steps).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "n_least")
