@@ -9,7 +9,8 @@ the second-best is away gives a calibrated score, and texts that no language mod
 marked as rejected.
 
 Learning reads a sample of at most about ``per_lang`` texts for each language, dealt by a hash of
-the id; a fifth of it only calibrates.
+the id; a fifth of it only calibrates. Models of up to ``LANGS`` languages are held together; if there are more, texts
+meet them in several passes, each with models whose size these two bounds limit.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import held_out, map_batches, materialize, slices, without
+from counterpoise.llm.common import discard, fresh, held_out, map_batches, materialize, q, slices, small, without
 
 ORDER = 5
 PER_LANG = 1500
+#: Languages whose models are learned and sent to the executors together, and rows that a language needs to spare some for calibration.
+LANGS, SPARE = 48, 50
 #: Words a worker's memo may hold before it is emptied.
 MEMO = 300_000
 START, END = "\x02", "\x03"
@@ -69,9 +72,6 @@ class KneserNey:
     alpha: list[np.ndarray]
     gamma: list[np.ndarray]
     floor: float
-    slope: float = 40.0
-    shift: float = 0.0
-    reject_above: float = float("inf")
 
     def log_probs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word: log probability by language, and how many characters were predicted."""
@@ -93,10 +93,13 @@ class KneserNey:
         return np.add.reduceat(logs, first, axis=0), np.add.reduceat(predicted.astype(np.int64), first)
 
 
-def fit_counts(counts: dict[str, Counter]) -> KneserNey:
-    """Models from word counts by language. Discounts are those of the counts of ones and twos of each order."""
+def fit_counts(counts: dict[str, Counter], vocabulary: int | None = None) -> KneserNey:
+    """Models from word counts by language. Discounts are those of the counts of ones and twos of each order.
+
+    ``vocabulary`` is how many characters there are, the end of a word included; by default those of ``counts``.
+    """
     langs, weigh = sorted(counts), {}
-    vocabulary = len({c for words in counts.values() for w in words for c in w}) + 1
+    vocabulary = vocabulary or len({c for words in counts.values() for w in words for c in w}) + 1
     tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
     zero = np.zeros((1, len(langs)), np.float32)
     for k, lang in enumerate(langs):
@@ -182,51 +185,90 @@ class WordMemo(dict):
         return out
 
 
-def judge(model: KneserNey, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language (-1: no letter), its cross-entropy, and its lead over the second-best in nats a character."""
+@dataclass
+class Languages:
+    """Models of all languages, in groups of at most ``LANGS`` in the languages' order, and what calibration has found."""
+
+    groups: list[KneserNey]
+    slope: float = 40.0
+    shift: float = 0.0
+    reject_above: float = float("inf")
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for g in self.groups for x in g.langs]
+
+
+def judge(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the best language (-1: no letter), its cross-entropy, and the second-best's (infinite if there is none)."""
     n = sums[:, -1]
     ce = -sums[:, :-1] / np.maximum(n, 1)[:, None]
     best = ce.argmin(1)
     low = ce[np.arange(len(ce)), best]
-    lead = np.partition(ce, 1, axis=1)[:, 1] - low if ce.shape[1] > 1 else np.full(len(ce), 1.0)
-    return np.where(n > 0, best, -1), low, lead
+    second = np.partition(ce, 1, axis=1)[:, 1] if ce.shape[1] > 1 else np.full(len(ce), np.inf)
+    return np.where(n > 0, best, -1), low, second
 
 
-def _score(df: DataFrame, model: KneserNey, text_col: str, names: tuple[str, str, str, str]) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))])
-    at, shared = df.columns.index(text_col), df.sparkSession.sparkContext.broadcast(model)
+_BEST = (("lang", T.StringType()), ("low", T.DoubleType()), ("second", T.DoubleType()))
+
+
+def _best_of_group(df: DataFrame, group: KneserNey, text_col: str, names: tuple[str, ...], go_on: bool) -> DataFrame:
+    """Add the best language, its cross-entropy and the second-best's; ``go_on``: against those of the groups before, which ``df`` has."""
+    kept = [f for f in df.schema.fields if f.name not in names]
+    schema = T.StructType([*kept, *(T.StructField(n, k) for n, (_, k) in zip(names, _BEST, strict=True))])
+    at, shared = df.columns.index(text_col), df.sparkSession.sparkContext.broadcast(group)
+    own, before = [df.columns.index(f.name) for f in kept], [df.columns.index(n) for n in names] if go_on else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, None
+        group, memo = shared.value, None
         for batch in batches:
-            memo = WordMemo(model) if memo is None and model.langs else memo
+            memo = memo or WordMemo(group)
             for begin, texts in slices(batch.column(at)):
-                if memo is None:
-                    langs, score, low, odd = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
-                else:
-                    best, low, lead = judge(model, memo.sums(texts))
-                    langs = [model.langs[k] if k >= 0 else "und" for k in best.tolist()]
-                    score = np.where(best >= 0, 1 / (1 + np.exp(-np.clip(model.slope * lead + model.shift, -50, 50))), 0.0)
-                    odd = (best < 0) | (low > model.reject_above)
                 part = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64()), pa.array(odd, pa.bool_())], names=schema.names)
+                best, low, second = judge(memo.sums(texts))
+                langs = [group.langs[k] if k >= 0 else None for k in best.tolist()]
+                if go_on:
+                    lang0, low0, second0 = (part.column(k) for k in before)
+                    low0, second0 = low0.to_numpy(zero_copy_only=False), second0.to_numpy(zero_copy_only=False)
+                    first = low0 <= low  # ties go to the language before
+                    langs = [x if f else y for x, y, f in zip(lang0.to_pylist(), langs, first.tolist(), strict=True)]
+                    low, second = np.where(first, low0, low), np.where(first, np.minimum(second0, low), np.minimum(second, low0))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in own), pa.array(langs, pa.string()), pa.array(low, pa.float64()), pa.array(second, pa.float64())], names=schema.names)
 
     return map_batches(df, run, schema)
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> KneserNey:
+def _score(df: DataFrame, models: Languages, text_col: str, names: tuple[str, str, str, str]) -> DataFrame:
+    """Add language, score, cross-entropy and whether it is rejected: one pass for each group of languages."""
+    held = fresh(df, *(f"_{n}" for n, _ in _BEST), *names)
+    inner = tuple(held[f"_{n}"] for n, _ in _BEST)
+    out = df
+    for k, group in enumerate(models.groups):
+        out = _best_of_group(out, group, text_col, inner, k > 0)
+    if not models.groups:
+        out = df.withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in zip(inner, _BEST, strict=True)})
+    lang, low, second = (q(n) for n in inner)
+    # With one language alone its lead counts as 1.
+    lead = F.when(second == float("inf"), F.lit(1.0)).otherwise(second - low)
+    power = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), lead * models.slope + models.shift))
+    none = lang.isNull()
+    score = F.when(none, 0.0).otherwise(1 / (1 + F.exp(-power)))
+    odd = none | (low > models.reject_above)
+    return out.select(*(q(c) for c in df.columns), F.coalesce(lang, F.lit("und")).alias(names[0]), score.alias(names[1]), F.when(none, 0.0).otherwise(low).alias(names[2]), odd.alias(names[3]))
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, langs_a_pass: int = LANGS) -> Languages:
     """Models of the languages named in ``docs``, from rows whose text and language are there and whose id is not held out.
 
-    ``per_lang`` bounds the texts that are learned from, for each language; without any row the model knows no language.
+    ``per_lang`` bounds the texts that are learned from, for each language; without any row the models know no language.
+    A language with fewer than ``SPARE`` rows teaches with all of them and does not calibrate.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}
-    if not n:
-        return KneserNey([], [], [], [], 1.0)
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, per_lang / v))) for k, v in n.items()))
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    sample = materialize(rows.where(draw < share[F.col("lang")]).withColumn("check", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("check")), F.lit(5)) == 0), "lang-sample")
+    rows = docs.select(q(id_col).alias("id"), q(text_col).alias("text"), q(lang_col).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-sizes")
+    of = lambda tag: F.xxhash64(F.col("id").cast("string"), F.lit(tag))
+    draw = F.pmod(of("sample"), F.lit(1_000_000)) / 1_000_000
+    check = (F.pmod(of("check"), F.lit(5)) == 0) & (F.col("n") >= SPARE)
+    sample = materialize(rows.join(small(sizes), "lang").where(draw < F.lit(per_lang) / F.col("n")).select("text", "lang", check.alias("check")), "lang-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, Counter] = {}
@@ -240,22 +282,26 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                     words[w] += k
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-    # With few rows, all of them teach.
-    teach = sample.where(~F.col("check")) if min(n.values()) >= 50 else sample
-    table = map_batches(teach.select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, Counter] = {}
-    for lang, word, k in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts.setdefault(lang, Counter())[word] = k
-    if not counts:
-        return KneserNey([], [], [], [], 1.0)
-    model = fit_counts(counts)
-    seen = _score(sample.where("check"), model, "text", ("got", "conf", "ce", "odd")).where("got <> 'und'").select((F.col("got") == F.col("lang")).alias("right"), "conf", "ce").toArrow()
-    if len(seen) >= 50:
-        calibrate(model, seen.column("right").to_numpy(zero_copy_only=False), seen.column("conf").to_numpy(), seen.column("ce").to_numpy())
-    return model
-
-
-def calibrate(model: KneserNey, right: np.ndarray, conf: np.ndarray, ce: np.ndarray) -> None:
+    words = materialize(map_batches(sample.where(~F.col("check")).select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    known = sorted(r[0] for r in words.select("lang").distinct().collect())
+    vocabulary = words.select(F.explode(F.split("word", "")).alias("c")).distinct().count() + 1
+    groups = []
+    for k in range(0, len(known), langs_a_pass):
+        table = words.where(F.col("lang").isin(known[k : k + langs_a_pass])).toArrow()  # bounded by per_lang and langs_a_pass
+        counts: dict[str, Counter] = {}
+        for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            counts.setdefault(lang, Counter())[word] = n
+        groups.append(fit_counts(counts, vocabulary))
+    models = Languages(groups)
+    if groups:
+        seen = _score(sample.where("check").select("text", "lang"), models, "text", ("got", "conf", "ce", "odd")).where("got <> 'und'").select((F.col("got") == F.col("lang")).alias("right"), "conf", "ce").toArrow()
+        if len(seen) >= 50:
+            calibrate(models, seen.column("right").to_numpy(zero_copy_only=False), seen.column("conf").to_numpy(), seen.column("ce").to_numpy())
+    discard(sizes, sample, words)
+    return models
+
+
+def calibrate(model: Languages, right: np.ndarray, conf: np.ndarray, ce: np.ndarray) -> None:
     """Fit the score's slope and shift to how often the best language was right, and the rejection bound to the right ones."""
     lead = (np.log(np.clip(conf, 1e-12, 1 - 1e-12) / np.clip(1 - conf, 1e-12, 1)) - model.shift) / model.slope
     a, b, y = model.slope, model.shift, right.astype(float)
@@ -274,7 +320,7 @@ def calibrate(model: KneserNey, right: np.ndarray, conf: np.ndarray, ce: np.ndar
         model.reject_above = float(np.quantile(ce[right], 0.995) * 1.1)
 
 
-def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
     """Add lang_pred, score, cross_entropy and rejected to every row, from the whole text.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Long texts are read whole,
@@ -286,6 +332,9 @@ def identify(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataF
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that are not held out, then judge every row by its text alone."""
+    """Learn from the rows that are not held out, then judge every row by its text alone.
+
+    Null, empty and repeated rows are as ``identify`` says; null doc_ids are in no fold; an empty table gives an empty result.
+    """
     model = learn(docs)
     return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model).drop("text")
