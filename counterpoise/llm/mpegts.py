@@ -5,7 +5,8 @@ table, and one private elementary stream cut in access units. Every unit is a PE
 a presentation timestamp; every ``GOP``-th unit is a random-access point, which repeats both
 tables and carries a clock reference. ``demux`` reads such a stream: it parses the tables,
 checks the continuity counters of each PID, reassembles the PES packets, and lists timestamps
-and random-access points with their packet numbers.
+and random-access points with their packet numbers. It also reads streams of other writers: several programs and
+elementary streams, tables that span packets, packets sent twice, PES packets of open length.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from counterpoise.llm.common import fresh, map_batches, materialize, q, without
 
 # Fixed values of the standard.
 PACKET, SYNC, PAT_PID, STREAM_ID, STREAM_TYPE = 188, 0x47, 0x0000, 0xBD, 0x06
-CRC_POLY = 0x04C11DB7
+CRC_POLY, NULL_PID = 0x04C11DB7, 0x1FFF
+#: Stream ids whose PES packets have no optional header.
+BARE_IDS = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
 
 # Choices of this writer.
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -109,77 +112,143 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Program:
+    """What a stream holds of one program. ``payload``, ``pts`` and the random-access points are those of its first elementary stream."""
+
     payload: bytes = b""
     n_packets: int = 0
     cc_errors: int = 0
+    n_duplicates: int = 0
+    number: int = -1
     pts: list[int] = field(default_factory=list)
     rap_pts: list[int] = field(default_factory=list)
     rap_packets: list[int] = field(default_factory=list)
     streams: dict[int, int] = field(default_factory=dict)
-
-
-def _table(section: bytes, table_id: int) -> bytes:
-    body = section[1 + section[0] :]
-    length = ((body[1] & 0x0F) << 8 | body[2]) + 3
-    if body[0] != table_id or crc_mpeg(body[:length]):
+    payloads: dict[int, bytes] = field(default_factory=dict)
+    stamps: dict[int, list[int]] = field(default_factory=dict)
+
+
+class _Sections:
+    """Puts the sections of a PID together, which may begin anywhere in a packet and span several."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def feed(self, part: bytes, start: bool) -> list[bytes]:
+        out: list[bytes] = []
+        if start:
+            at = 1 + part[0]
+            if self.held is not None:
+                self.held += part[1:at]
+                out = self._whole()
+            self.held = part[at:]
+        elif self.held is not None:
+            self.held += part
+        return out + self._whole()
+
+    def _whole(self) -> list[bytes]:
+        out, held = [], self.held or b""
+        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := ((held[1] & 0x0F) << 8 | held[2]) + 3):
+            out.append(held[:size])
+            held = held[size:]
+        if self.held is not None:
+            self.held = b"" if held[:1] == b"\xff" else held  # stuffing goes to the packet's end
+        return out
+
+
+def _table(section: bytes, table_id: int) -> bytes | None:
+    """The body of a section of this table; None for another table's."""
+    if section[0] != table_id:
+        return None
+    if len(section) < 12 or crc_mpeg(section):
         raise ValueError("a program table is damaged")
-    return body[8 : length - 4]
-
-
-def demux(media: bytes) -> Program:
-    """Parse a transport stream of one program with one elementary stream."""
+    return section[8:-4]
+
+
+def _unit(parts: list[bytes]) -> tuple[bytes, int | None]:
+    """Data and presentation timestamp of a PES packet. A length of 0 means: up to the next one."""
+    pes = b"".join(parts)
+    if pes[:3] != b"\0\0\1" or len(pes) < 6:
+        raise ValueError("a PES packet has no start code")
+    length = int.from_bytes(pes[4:6], "big")
+    end = 6 + length if length else len(pes)
+    if pes[3] in BARE_IDS:
+        return pes[6:end], None
+    pts = None
+    if pes[7] & 0x80:
+        s = pes[9:14]
+        pts = (s[0] & 0x0E) << 29 | s[1] << 22 | (s[2] & 0xFE) << 14 | s[3] << 7 | s[4] >> 1
+    return pes[9 + pes[8] : end], pts
+
+
+def demux(media: bytes, number: int | None = None) -> Program:
+    """Parse a transport stream: the program of this number, by default the first that the association table names.
+
+    Every elementary stream of the program is put together. A packet sent twice counts once, as the standard allows;
+    a jump of a PID's counter is an error unless the packet announces a discontinuity. Program 0 is the network's table.
+    """
     if len(media) % PACKET:
         raise ValueError("not a whole number of packets")
-    out, pmt_pid, es_pid = Program(n_packets=len(media) // PACKET), -1, -1
-    last: dict[int, int] = {}
-    packets: list[list[bytes]] = []
+    out, pmt_pid = Program(n_packets=len(media) // PACKET), -1
+    last: dict[int, tuple[int, bytes]] = {}
+    sections = {PAT_PID: _Sections()}
+    units: dict[int, list[list[bytes]]] = {}
+    raps: list[tuple[int, int]] = []
     seen: set[bytes] = set()
+    first = -1
     for n, at in enumerate(range(0, len(media), PACKET)):
         if media[at] != SYNC:
             raise ValueError(f"packet {n} has no sync byte")
         b1, b3 = media[at + 1], media[at + 3]
-        pid, start, cc, begin, rap = (b1 & 0x1F) << 8 | media[at + 2], b1 & 0x40, b3 & 15, at + 4, False
+        pid, start, cc, begin, flags = (b1 & 0x1F) << 8 | media[at + 2], b1 & 0x40, b3 & 15, at + 4, 0
         if b3 & 0x20:
             size = media[begin]
-            rap = bool(size and media[begin + 1] & 0x40)
+            flags = media[begin + 1] if size else 0
             begin += 1 + size
-        if not b3 & 0x10:
+        if not b3 & 0x10 or pid == NULL_PID:
             continue
-        if pid in last and (last[pid] + 1) & 15 != cc:
-            out.cc_errors += 1
-        last[pid] = cc
-        if pid == es_pid:
+        part = media[begin : at + PACKET]
+        if pid in last and not flags & 0x80:
+            if last[pid] == (cc, part):
+                out.n_duplicates += 1
+                last[pid] = (cc, b"")  # a third one would be an error
+                continue
+            if (last[pid][0] + 1) & 15 != cc:
+                out.cc_errors += 1
+        last[pid] = (cc, part)
+        if pid in units:
             if start:
-                packets.append([])
-                if rap:
-                    out.rap_packets.append(n)
-                    out.rap_pts.append(len(packets) - 1)
-            if packets:
-                packets[-1].append(media[begin : at + PACKET])
-        elif pid in (PAT_PID, pmt_pid) and start and (section := media[begin : at + PACKET]) not in seen:
-            seen.add(section)
-            if pid == PAT_PID:
-                body = _table(section, 0)
-                pmt_pid = (body[2] & 0x1F) << 8 | body[3]
-            else:
-                body = _table(section, 2)
-                at_es = 4 + ((body[2] & 0x0F) << 8 | body[3])
-                while at_es + 5 <= len(body):
-                    out.streams[(body[at_es + 1] & 0x1F) << 8 | body[at_es + 2]] = body[at_es]
-                    at_es += 5 + ((body[at_es + 3] & 0x0F) << 8 | body[at_es + 4])
-                es_pid = next(iter(out.streams))
-    units = []
-    for parts in packets:
-        pes = b"".join(parts)
-        if pes[:3] != b"\0\0\1":
-            raise ValueError("a PES packet has no start code")
-        length, head = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
-        if pes[7] & 0x80:
-            s = pes[9:14]
-            out.pts.append((s[0] & 0x0E) << 29 | s[1] << 22 | (s[2] & 0xFE) << 14 | s[3] << 7 | s[4] >> 1)
-        units.append(pes[head : 6 + length])
-    out.payload = b"".join(units)
-    out.rap_pts = [out.pts[k] for k in out.rap_pts]
+                units[pid].append([])
+                if flags & 0x40 and pid == first:
+                    raps.append((n, len(units[pid]) - 1))
+            if units[pid]:
+                units[pid][-1].append(part)
+        elif pid in sections:
+            for section in sections[pid].feed(part, bool(start)):
+                if section in seen:
+                    continue
+                seen.add(section)
+                if pid == PAT_PID and (body := _table(section, 0)) is not None:
+                    for k in range(0, len(body), 4):
+                        named = body[k] << 8 | body[k + 1]
+                        if pmt_pid < 0 and named and number in (None, named):
+                            out.number, pmt_pid = named, (body[k + 2] & 0x1F) << 8 | body[k + 3]
+                            sections[pmt_pid] = _Sections()
+                elif pid == pmt_pid and (body := _table(section, 2)) is not None and section[3] << 8 | section[4] == out.number:
+                    k = 4 + ((body[2] & 0x0F) << 8 | body[3])
+                    while k + 5 <= len(body):
+                        es = (body[k + 1] & 0x1F) << 8 | body[k + 2]
+                        out.streams[es] = body[k]
+                        units.setdefault(es, [])
+                        k += 5 + ((body[k + 3] & 0x0F) << 8 | body[k + 4])
+                    first = next(iter(out.streams), -1)
+    for pid, packets in units.items():
+        got = [_unit(parts) for parts in packets]
+        out.payloads[pid] = b"".join(data for data, _ in got)
+        out.stamps[pid] = [pts for _, pts in got if pts is not None]
+        if pid == first:
+            out.payload, out.pts = out.payloads[pid], out.stamps[pid]
+            out.rap_packets = [n for n, _ in raps]
+            out.rap_pts = [got[k][1] for _, k in raps if got[k][1] is not None]
     return out
 
 
