@@ -6,26 +6,50 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterpoise.functions.columns import bucket, col, finite
-from counterpoise.functions.statistics import quantiles
+from counterpoise.functions.statistics import AGGREGATE_ROWS, quantiles
 from counterpoise.operators.balance import BalanceRow
 from counterpoise.operators.prepare import label_text
 from counterpoise.operators.strata import cuts
-from counterpoise.sources.scratch import scratch
+from counterpoise.sources.scratch import ranked, scratch
+
+
+#: Removed ids that one entry of the log lists; where there are more, the table of removed rows has them.
+LISTED = 10_000
 
 
 @dataclass
 class TrimEvent:
+    """What was removed of one group. ``rows``: group, place, _rm_id of all that went for this variable, a stored table."""
+
     variable: str
     kind: str
     group: Any
     n_removed: int
     target_share: float
     control_share_before: float
-    control_rm_ids: list[int]
+    rows: DataFrame
+
+    @property
+    def control_rm_ids(self) -> list[int] | None:
+        """The removed rows, weakest first; None if they are more than ``LISTED``."""
+        if self.n_removed > LISTED:
+            return None
+        return [r["_rm_id"] for r in self.rows.where(F.col("group") == self.group).orderBy("place").select("_rm_id").collect()]
+
+    def to_dict(self) -> dict[str, Any]:
+        return {"variable": self.variable, "kind": self.kind, "group": str(self.group), "n_removed": self.n_removed, "target_share": self.target_share, "control_share_before": self.control_share_before, "control_rm_ids": self.control_rm_ids}
+
+
+def removed_rows(spark: SparkSession, events: Sequence[TrimEvent]) -> DataFrame:
+    """variable, group, place, control_rm_id of all that trimming removed."""
+    out = spark.createDataFrame([], "variable string, group string, place long, control_rm_id long")
+    for variable, rows in {e.variable: e.rows for e in events}.items():
+        out = out.unionByName(rows.select(F.lit(variable).alias("variable"), "group", F.col("place").cast("long").alias("place"), F.col("_rm_id").alias("control_rm_id")))
+    return out
 
 
 def drift_group(targets: DataFrame, variable: str, kind: str, n_bins: int) -> Column | None:
@@ -61,26 +85,29 @@ def trim(targets: DataFrame, controls: DataFrame, variable: str, kind: str, n_bi
     group = drift_group(targets, variable, kind, n_bins)
     groups = excess_groups(targets, controls, variable, kind, n_bins)
     if group is None:
-        return controls.where(F.lit(False)).select("_rm_id", "match_strength", F.lit("").alias("group"), F.lit(0.0).alias("target_share"), F.lit(0.0).alias("control_share"), F.lit(0).cast("long").alias("excess_rows"))
-    live = controls.select("_rm_id", "match_strength", group.alias("group")).join(groups, "group")
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.coalesce("match_strength", F.lit(0.0)), "_rm_id"))
-    return live.withColumn("_k", rank).where(F.col("_k") <= F.col("excess_rows")).drop("_k")
+        return controls.where(F.lit(False)).select("_rm_id", "match_strength", F.lit("").alias("group"), F.lit(0.0).alias("target_share"), F.lit(0.0).alias("control_share"), F.lit(0).cast("long").alias("excess_rows"), F.lit(0).cast("long").alias("place"))
+    live = controls.select("_rm_id", F.coalesce("match_strength", F.lit(0.0)).alias("match_strength"), group.alias("group")).join(groups, "group")
+    order = ["match_strength", "_rm_id"]
+    if live.limit(AGGREGATE_ROWS + 1).count() > AGGREGATE_ROWS:  # a group may then be more than one task should sort
+        placed = ranked(live, ["group"], order, "place")
+    else:
+        placed = live.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(*order)).cast("long"))
+    return placed.where(F.col("place") <= F.col("excess_rows"))
 
 
 def correct_drift(targets: DataFrame, controls: DataFrame, flagged: Sequence[BalanceRow], n_bins: int = 4) -> tuple[DataFrame, list[TrimEvent]]:
     """The controls that stay after one pass over the flagged monitor variables, and what went for which group.
 
-    Each variable sees what the ones before left. The event lists hold the removed ids, as the drift log does.
+    Each variable sees what the ones before left. The rows removed stay a stored table.
     """
     events: list[TrimEvent] = []
     for row in flagged:
         if row.role != "monitor" or not row.flagged or row.variable not in targets.columns:
             continue
         gone = scratch(trim(targets, controls, row.variable, row.kind, n_bins), "trimmed")
-        log = gone.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.first("target_share").alias("ts"), F.first("control_share").alias("cs"), F.max("excess_rows").alias("e"), F.array_sort(F.collect_list(F.struct(F.coalesce("match_strength", F.lit(0.0)).alias("s"), F.col("_rm_id").alias("id")))).alias("ids"))
-        got = log.collect()
+        got = gone.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.first("target_share").alias("ts"), F.first("control_share").alias("cs"), F.max("excess_rows").alias("e")).collect()
         for r in sorted(got, key=lambda r: (-r["e"], int(r["group"]) if row.kind == "ks" else 0, r["group"])):
-            events.append(TrimEvent(row.variable, row.kind, r["group"], r["n"], r["ts"], r["cs"], [x["id"] for x in r["ids"]]))
+            events.append(TrimEvent(row.variable, row.kind, r["group"], r["n"], r["ts"], r["cs"], gone))
         if got:
             controls = controls.join(gone.select("_rm_id"), "_rm_id", "left_anti")
     return controls, events

@@ -34,8 +34,10 @@ class DataReport:
         df, t = self._df, col(self._treatment)
         kind = df.schema[self._treatment].dataType
         nulls = [F.count_if(col(c).isNull()).alias(f"null{k}") for k, c in enumerate(df.columns)]
-        # Of the treatment's values three are enough to tell that it isn't binary.
-        values = F.slice(F.array_sort(F.collect_set(t)), 1, 3).alias("values") if is_numeric(kind) or kind.simpleString() == "boolean" else F.array(F.min(t), F.max(t)).alias("values")
+        # Which of 0 and 1 there are, and the least and the greatest of what else there is.
+        known = treatment_is(t, kind, 0) | treatment_is(t, kind, 1)
+        other = F.when(t.isNotNull() & ~F.coalesce(known, F.lit(False)), t.cast("string") if not is_numeric(kind) else t)
+        values = F.struct(F.min(other).alias("least"), F.max(other).alias("most")).alias("values")
         row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(treatment_is(t, kind, 1)).alias("t"), F.count_if(treatment_is(t, kind, 0)).alias("c"), values, F.count_if(t.isNull()).alias("tn"), *nulls).first()
         counts = {c: row[f"null{k}"] for k, c in enumerate(df.columns)}
         if row["c"] < row["t"]:
@@ -43,7 +45,7 @@ class DataReport:
         numeric = sum(is_numeric(f.dataType) for f in df.schema.fields)
         return {
             "n_rows": row["n"], "n_target": row["t"], "n_control": row["c"], "n_treatment_null": row["tn"],
-            "treatment_values": [v for v in row["values"] if v is not None],
+            "treatment_values": [v for v, n in ((0, row["c"]), (1, row["t"])) if n] + [v for v in dict.fromkeys((row["values"]["least"], row["values"]["most"])) if v is not None],
             "n_numeric": numeric, "n_categorical": len(df.columns) - numeric,
             "column_types": {f.name: f.dataType.simpleString() for f in df.schema.fields},
             "null_counts": counts, "null_rates": {c: v / row["n"] if row["n"] else 0.0 for c, v in counts.items()},

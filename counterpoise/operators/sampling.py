@@ -11,6 +11,7 @@ from counterpoise.config import SamplingConfig
 from counterpoise.functions.columns import bucket, col, finite, is_finite, is_numeric, json_key, seeded
 from counterpoise.functions.statistics import AGGREGATE_ROWS, js, ks, quantiles
 from counterpoise.operators.strata import cuts
+from counterpoise.sources.scratch import scratch
 
 ID, LABEL, GROUP = "_rs_id", "_rs_label", "_rs_group"
 
@@ -99,45 +100,45 @@ def check_selection(pop: DataFrame, quotas: DataFrame, chosen: DataFrame, cfg: S
 BALANCE_COLUMNS = ("variable", "role", "scope", "label", "kind", "statistic", "threshold", "n_population", "n_sample", "n_valid_population", "n_valid_sample", "population_missing_rate", "sample_missing_rate", "status", "required")
 
 
-def check_variable(marked: DataFrame, var: str, role: str, cfg: SamplingConfig, distributed: bool = False) -> DataFrame:
-    """Balance rows of one variable: overall, and within each label if asked for. ``marked``: the population with ``_rs_in``.
+def check_population_balance(pop: DataFrame, chosen: DataFrame, cfg: SamplingConfig, n: int) -> DataFrame:
+    """Balance rows of all features, overall and, if asked for, within each label, and of the label, which is only described.
 
-    A side without a valid value is not evaluated.
+    All variables are stacked: one scan of the population makes one frequency table. A side without a valid value is not evaluated.
     """
-    numeric = role == "feature" and is_numeric(marked.schema[var].dataType)
-    value = finite(col(var)) if numeric else json_key([col(var)])
-    valid = is_finite(col(var)) if numeric else F.lit(True)
-    missing = ~valid if numeric else col(var).isNull()
-    scopes = [F.struct(F.lit("overall").alias("scope"), F.lit("").alias("label"))]
-    if cfg.check_by_label and role == "feature":
-        scopes.append(F.struct(F.lit("within_label").alias("scope"), F.col(LABEL).alias("label")))
-    by = ["scope", "label"]
-    rows = marked.select(value.alias("value"), valid.alias("valid"), missing.cast("long").alias("m"), F.col("_rs_in").cast("long").alias("s"), F.explode(F.array(*scopes)).alias("at"))
-    freq = rows.select("at.scope", "at.label", "value", "valid", "m", "s").groupBy(*by, "value", "valid").agg(F.count(F.lit(1)).alias("a"), F.sum("s").alias("b"), F.sum("m").alias("pm"), F.sum(F.col("m") * F.col("s")).alias("sm"))
+    checks = [*((v, "feature") for v in cfg.features), *([(cfg.label_col, "label")] if cfg.label_col else [])]
+    if not checks:
+        kinds = ["string"] * 5 + ["double"] * 2 + ["long"] * 4 + ["double"] * 2 + ["string", "boolean"]
+        return pop.sparkSession.createDataFrame([], ", ".join(f"{c} {k}" for c, k in zip(BALANCE_COLUMNS, kinds, strict=True)))
+    marked = pop.join(chosen.withColumn("_rs_in", F.lit(1)), ID, "left").withColumn("_rs_in", F.coalesce("_rs_in", F.lit(0)))
+    cells, numeric = [], []
+    for k, (var, role) in enumerate(checks):
+        numeric.append(role == "feature" and is_numeric(pop.schema[var].dataType))
+        valid = is_finite(col(var)) if numeric[-1] else F.lit(True)
+        missing = ~valid if numeric[-1] else col(var).isNull()
+        scopes = [F.lit(None).cast("string"), *([F.col(LABEL)] if cfg.check_by_label and role == "feature" else [])]
+        for within, label in enumerate(scopes):
+            cells.append(F.struct(F.lit(2 * k + within).alias("at"), label.alias("label"), (finite(col(var)) if numeric[-1] else F.lit(None).cast("double")).alias("x"), (F.lit(None).cast("string") if numeric[-1] else json_key([col(var)])).alias("g"), valid.alias("valid"), missing.cast("long").alias("m")))
+    rows = marked.select(F.col("_rs_in").cast("long").alias("s"), F.inline(F.array(*cells)))
+    by = ["at", "label"]
+    counted = rows.groupBy(*by, "x", "g", "valid").agg(F.count(F.lit(1)).alias("a"), F.sum("s").alias("b"), F.sum("m").alias("pm"), F.sum(F.col("m") * F.col("s")).alias("sm"))
+    freq = scratch(counted.withColumn("label", F.coalesce("label", F.lit(""))), "frequencies")
     ok = F.col("valid")
     totals = freq.groupBy(*by).agg(
         F.sum("a").alias("n_population"), F.sum("b").alias("n_sample"), F.sum(F.when(ok, F.col("a")).otherwise(0)).alias("n_valid_population"), F.sum(F.when(ok, F.col("b")).otherwise(0)).alias("n_valid_sample"),
         (F.sum("pm") / F.nullif(F.sum("a"), F.lit(0))).alias("population_missing_rate"), (F.sum("sm") / F.nullif(F.sum("b"), F.lit(0))).alias("sample_missing_rate"),
     )
-    pairs = freq.where("valid").select(*by, "value", "a", "b")
-    stats = ks(pairs, by, distributed) if numeric else js(pairs, by)
-    threshold = F.lit(float(cfg.ks_threshold if numeric else cfg.js_threshold))
-    out = totals.join(stats, by, "left").withColumn("_label", F.when(F.col("scope") == "overall", None).otherwise(F.col("label")))
-    status = F.when(F.col("statistic").isNull(), "not_evaluated").when(F.col("statistic") <= threshold, "pass").otherwise("fail")
-    return out.select(F.lit(var).alias("variable"), F.lit(role).alias("role"), "scope", F.col("_label").alias("label"), F.lit("ks" if numeric else "js").alias("kind"), "statistic", threshold.alias("threshold"), *BALANCE_COLUMNS[7:13], status.alias("status"), F.lit(role == "feature").alias("required"))
-
-
-def check_population_balance(pop: DataFrame, chosen: DataFrame, cfg: SamplingConfig, n: int) -> DataFrame:
-    """Balance rows of all features, and of the label, which is only described. One scan of the population for each."""
-    marked = pop.join(chosen.withColumn("_rs_in", F.lit(True)), ID, "left").withColumn("_rs_in", F.coalesce("_rs_in", F.lit(False)))
-    out = None
-    for var, role in [*((v, "feature") for v in cfg.features), *([(cfg.label_col, "label")] if cfg.label_col else [])]:
-        rows = check_variable(marked, var, role, cfg, n > AGGREGATE_ROWS)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        kinds = ["string"] * 5 + ["double"] * 2 + ["long"] * 4 + ["double"] * 2 + ["string", "boolean"]
-        return pop.sparkSession.createDataFrame([], ", ".join(f"{c} {k}" for c, k in zip(BALANCE_COLUMNS, kinds, strict=True)))
-    return out
+    pairs = freq.where("valid")
+    distributed = freq.limit(AGGREGATE_ROWS + 1).count() > AGGREGATE_ROWS
+    stats = ks(pairs.where("g is null").select(*by, F.col("x").alias("value"), "a", "b"), by, distributed).unionByName(js(pairs.where("g is not null").select(*by, F.col("g").alias("value"), "a", "b"), by))
+    limit = {True: float(cfg.ks_threshold), False: float(cfg.js_threshold)}
+    asked = pop.sparkSession.createDataFrame(
+        [(2 * k + within, var, role, "within_label" if within else "overall", "ks" if num else "js", limit[num], role == "feature") for k, ((var, role), num) in enumerate(zip(checks, numeric, strict=True)) for within in (0, 1)],
+        "at int, variable string, role string, scope string, kind string, threshold double, required boolean",
+    )
+    out = totals.join(stats, by, "left").join(F.broadcast(asked), "at")  # two rows for each variable
+    status = F.when(F.col("statistic").isNull(), "not_evaluated").when(F.col("statistic") <= F.col("threshold"), "pass").otherwise("fail")
+    out = out.withColumns({"label": F.when(F.col("scope") == "overall", None).otherwise(F.col("label")), "status": status})
+    return out.select(*BALANCE_COLUMNS)
 
 
 def class_table(classes: DataFrame, pop: DataFrame, chosen: DataFrame, cfg: SamplingConfig, n: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -43,12 +44,35 @@ class MatchResult:
     coverage_summary: dict[str, Any]
     report: Report
     workspace: Workspace
+    #: variable, group, place, control_rm_id of the controls that trimming removed.
+    removed: DataFrame
+    prepared: DataFrame
+
+    def create_views(self, prefix: str = "") -> list[str]:
+        """Name the run's tables for SQL: prepared rows, pairs, targets, removed. The views end with the session or ``close``."""
+        tables = {"prepared": self.prepared, "pairs": self.pairs, "targets": self.targets, "removed": self.removed}
+        for name, df in tables.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in tables]
 
     def close(self) -> None:
         """Remove the stored tables."""
         self.workspace.close()
 
 
+def resident_mb() -> int:
+    """What the driver's Python holds, in MB; 0 where the system doesn't tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    except OSError:
+        return 0
+
+
+#: The stages of a run, as its log and its progress lines name them, with a hint of what they do.
+STAGES = {"profile": "one scan", "strata": "bins and counts", "match": "greedy assignment", "tolerance": "cutoff", "balance": "first check", "drift": "trimming", "output": "result tables"}
+
+
 @dataclass
 class Matched:
     """What a run has found before its tables are put together."""
@@ -71,37 +95,45 @@ class ControlMatcher:
         self.cutoff: float | None = None
 
     def _log(self, stage: str, **facts: Any) -> None:
+        """``verbose``: a line for each stage that is over, with its facts, the time and memory; ``progress``: how far the run is."""
         if self.config.verbose:
-            print(f"{time.strftime('%H:%M:%S')} {stage} " + " ".join(f"{k}={v}" for k, v in facts.items()), file=sys.stderr)
-
-    def _ingest(self, data: Any, order_by: Sequence[str]) -> DataFrame:
-        spark = self._spark or SparkSession.active()
-        keep = (self.config.id_col,) if self.config.id_col else ()
-        return row_numbers(numbers_as_double(read(spark, data), keep), "_rm_id", list(order_by))
-
-    def _start(self, data: Any, order_by: Sequence[str]) -> tuple[DataFrame, dict[str, Any], list[str], list[str]]:
-        cfg = self.config
-        source = self._ingest(data, order_by)
-        plain = source.drop("_rm_id")
+            print(f"{time.strftime('%H:%M:%S')} {stage} " + " ".join(f"{k}={v}" for k, v in facts.items()) + f" rss_mb={resident_mb()}", file=sys.stderr)
+        if self.config.progress:
+            print(f"[{list(STAGES).index(stage) + 1}/{len(STAGES)}] {stage}: {STAGES[stage]}", file=sys.stderr)
+
+    def _read(self, data: Any, encoding: str) -> tuple[DataFrame, dict[str, Any], list[str], list[str]]:
+        """The input, its profile, and its match variables by kind."""
+        cfg, spark = self.config, self._spark or SparkSession.active()
+        plain = numbers_as_double(read(spark, data, encoding), (cfg.id_col,) if cfg.id_col else ())
         numeric, categorical = check_columns(plain, cfg)
         profile = DataReport(plain, cfg.treatment_col).summary()
         check_treatment(profile["treatment_values"], cfg.treatment_col)
-        return source, profile, numeric, categorical
+        return plain, profile, numeric, categorical
+
+    def _wanted(self, df: DataFrame) -> DataFrame:
+        """The columns that a run has a use for."""
+        cfg = self.config
+        used = {cfg.treatment_col, *cfg.match_vars, *cfg.monitor_vars, cfg.id_col}
+        return df.select(*(col(c) for c in df.columns if c in used))
 
-    def assess(self, data: Any, *, n_bins_candidates: Sequence[int] | None = None, max_report_strata: int = 1000, work_dir: str | None = None, order_by: Sequence[str] = ()) -> CapacityReport:
+    def assess(self, data: Any, *, n_bins_candidates: Sequence[int] | None = None, max_report_strata: int = 1000, work_dir: str | None = None, order_by: Sequence[str] = (), encoding: str = "UTF-8") -> CapacityReport:
         """Capacity of the current setting and of other bin counts, without scoring or matching. The matcher stays as it is."""
         cfg = self.config
         tried = [whole_number(v, "n_bins_candidates", 2) for v in n_bins_candidates or []]
-        source, _, numeric, categorical = self._start(data, order_by)
-        with Workspace(source.sparkSession, work_dir) as space:
-            prepared = space.store(prepare(source, cfg.treatment_col, numeric, categorical), "prepared")
-            grouped = [v for v in numeric if v in cfg.grouping_vars]
-            reports = []
-            for bins in dict.fromkeys((cfg.n_bins, *tried)):
-                edges = strata.target_edges(prepared, grouped, bins)
-                rows = strata.stratify(prepared, edges, categorical, numeric, bins)
-                counts = space.store(strata.stratum_counts(rows), "counts")
-                reports.append(coverage.build_capacity(counts, replace(cfg, n_bins=bins), edges, rows, categorical, numeric, max_report_strata))
+        source, _, numeric, categorical = self._read(data, encoding)
+        space = Workspace(source.sparkSession, work_dir)
+        try:
+            with space:  # counts need no row numbers, so ``order_by`` has nothing to do here
+                prepared = space.store(prepare(self._wanted(source), cfg.treatment_col, numeric, categorical), "prepared")
+                grouped = [v for v in numeric if v in cfg.grouping_vars]
+                reports = []
+                for bins in dict.fromkeys((cfg.n_bins, *tried)):
+                    edges = strata.target_edges(prepared, grouped, bins)
+                    rows = strata.stratify(prepared, edges, categorical, numeric, bins)
+                    counts = space.store(strata.stratum_counts(rows), "counts")
+                    reports.append(coverage.build_capacity(counts, replace(cfg, n_bins=bins), edges, rows, categorical, numeric, max_report_strata))
+        finally:
+            space.close()
         if tried:
             coverage.compare_trials(reports[0], [r.summary for r in reports])
         return reports[0]
@@ -113,24 +145,28 @@ class ControlMatcher:
         moments = scoring.target_moments(prepared, numeric)
         rows = space.store(strata.stratify(prepared, edges, categorical, numeric, cfg.n_bins), "stratified")
         counts = space.store(strata.stratum_counts(rows), "counts")
+        self._log("strata", strata=counts.count())
         flags = space.store(coverage.flag_coverage(counts, cfg), "flags")
         x = scoring.point(numeric, moments, cfg.weights)
         points = rows.select(F.col("_stratum").alias("stratum"), F.col("_rm_id").alias("id"), x.alias("x"), "_treatment").join(flags.where("eligible").select("stratum"), "stratum", "left_semi")
         got = assign.assign(points.where("_treatment = 1").drop("_treatment"), points.where("_treatment = 0").drop("_treatment"), flags.where("eligible").select("stratum", "n_target", "n_control"), cfg.n, cfg.max_candidates_per_target)
         return Matched(rows, counts, flags, space.store(got, "assignments"), numeric, categorical, edges)
 
-    def fit_match(self, data: Any, work_dir: str | None = None, keep_db: bool = False, order_by: Sequence[str] = ()) -> MatchResult:
+    def fit_match(self, data: Any, work_dir: str | None = None, keep_db: bool = False, order_by: Sequence[str] = (), encoding: str = "UTF-8") -> MatchResult:
         """Match ``data`` (a path, a table's name, or a Spark, pandas or Arrow table).
 
-        ``order_by`` fixes the row numbers where the source has no order of its own. Intermediate tables go to
-        ``work_dir`` and are removed with ``result.close()``, or at once if the run fails.
+        ``order_by`` fixes the row numbers where the source has no order of its own; ``encoding`` is that of a text file.
+        All intermediate tables go to ``work_dir`` and are removed with ``result.close()``, or at once if the run fails.
         """
-        cfg = self.config
-        source, profile, numeric, categorical = self._start(data, order_by)
+        plain, profile, numeric, categorical = self._read(data, encoding)
         self._log("profile", rows=profile["n_rows"], target=profile["n_target"], untreated=profile["n_control"])
-        space = Workspace(source.sparkSession, work_dir, keep_db)
+        space = Workspace(plain.sparkSession, work_dir, keep_db)
         try:
-            return self._finish(source, profile, numeric, categorical, space)
+            with space:
+                # The order's columns may be others than the run's: they go once the rows are numbered.
+                kept = [c for c in plain.columns if c in {*self._wanted(plain).columns, *order_by}]
+                source = row_numbers(plain.select(*map(col, kept)), "_rm_id", list(order_by))
+                return self._finish(source, profile, numeric, categorical, space)
         except BaseException:
             space.keep = False
             space.close()
@@ -150,6 +186,7 @@ class ControlMatcher:
         self.cutoff = tolerance.strength_cutoff(m.assignments, cfg.tolerance)
         kept = tolerance.apply_tolerance(m.assignments, self.cutoff)
         capacity.summary["assignments_after_tolerance"] = kept.count()
+        self._log("tolerance", cutoff=self.cutoff, kept=capacity.summary["assignments_after_tolerance"])
 
         shown = [c for c in dict.fromkeys((*cfg.match_vars, *cfg.monitor_vars))]
         treated = m.rows.where("_treatment = 1").select("_rm_id", *map(col, shown))
@@ -158,6 +195,7 @@ class ControlMatcher:
         check = lambda controls: balance.check_balance(treated, controls, cfg.match_vars, cfg.monitor_vars, cfg.js_threshold, cfg.ks_threshold)
         before = check(chosen)
         flagged = [r for r in before if r.role == "monitor" and r.flagged]
+        self._log("balance", flagged=len(flagged))
         left, events = drift.correct_drift(treated, chosen, flagged, cfg.n_bins)
         if events:
             left = space.store(left, "left")
@@ -167,12 +205,14 @@ class ControlMatcher:
         if removed:
             capacity.recommendations.append(recommendation("monitor_vars", None, "See report.drift_log for the groups whose surplus controls were removed.", "measured_drift_removals", "Balance was bought with coverage; other bins alone are no proven remedy."))
         after = check(left) if events else before
+        self._log("drift", removed=removed)
 
         pairs = space.store(output.pair_table(m.rows, kept, m.flags, self.cutoff, cfg.id_col), "pairs")
         targets = space.store(output.target_table(pairs), "targets")
         summary = output.coverage_summary(targets, self.cutoff)
-        log = [{"variable": e.variable, "kind": e.kind, "group": str(e.group), "n_removed": e.n_removed, "target_share": e.target_share, "control_share_before": e.control_share_before, "control_rm_ids": e.control_rm_ids} for e in events]
+        log = [e.to_dict() for e in events]
+        gone = space.store(drift.removed_rows(treated.sparkSession, events), "removed")
         report = Report(summary, output.balance_table(before, after), log, profile, capacity)
-        self._log("done", matched=summary["n_matched"], pct_matched=summary["pct_matched"])
+        self._log("output", matched=summary["n_matched"], pct_matched=summary["pct_matched"])
         ordered = pairs.orderBy("target_rm_id", F.asc_nulls_last("match_rank"))
-        return MatchResult(ordered, targets.orderBy("target_rm_id"), self.cutoff, summary, report, space)
+        return MatchResult(ordered, targets.orderBy("target_rm_id"), self.cutoff, summary, report, space, gone, m.rows)

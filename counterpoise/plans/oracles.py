@@ -25,10 +25,10 @@ z AS (SELECT st.*, (c_acctbal - m) / sd AS z FROM st, mo),
 pr AS (SELECT a.stratum, a.id AS tid, b.id AS cid, exp(-sqrt((a.z - b.z) * (a.z - b.z))) AS s FROM z a JOIN z b ON a.stratum = b.stratum WHERE a.t = 1 AND b.t = 0)"""
 
 
-def _greedy(n: int = 1, most: int | None = None) -> str:
-    """The greedy assignment as rounds of mutual bests, over lists of what is taken."""
+def _greedy(n: int = 1, most: int | None = None, x: str | None = None) -> str:
+    """The greedy assignment as rounds of mutual bests, over lists of what is taken. ``x``: another number to score by."""
     pairs = "pr" if most is None else f"(SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY tid ORDER BY s DESC, cid) <= {most})"
-    return _matched() + f""",
+    return (_matched() if x is None else _matched().replace("(c_acctbal - m) / sd AS z", f"{x} AS z")) + f""",
 r(ut, uc, i) AS (
     SELECT []::BIGINT[], []::BIGINT[], 0
     UNION ALL
@@ -40,6 +40,11 @@ fin AS (SELECT unnest(ut) AS tid, unnest(uc) AS cid FROM (SELECT ut, uc FROM r O
 asg AS (SELECT stratum, tid, cid, s, row_number() OVER (PARTITION BY tid ORDER BY s DESC, cid) AS k FROM fin JOIN pr USING (tid, cid))"""
 
 
+def _walk(n: int, x: str) -> str:
+    """The greedy assignment as a walk over all pairs in order, stratum by stratum: a fold over a list, as ties make rounds long."""
+    return _greedy(n, None, x)
+
+
 def _kept(n: int, tolerance: float) -> str:
     return _greedy(n) + f""",
 cut AS (SELECT quantile_cont(s, {tolerance}) AS c FROM asg),
@@ -163,6 +168,27 @@ SELECT sum(requested_assignments)::BIGINT AS requested_assignments, sum(assignme
     "greedy_assign": _greedy() + _ASSIGNED,
     "greedy_assign_1to2": _greedy(2) + _ASSIGNED,
     "greedy_assign_rounds": _greedy() + _ASSIGNED,
+    "greedy_assign_rounds_ties": _walk(2, "floor(c_acctbal / 1000)::DOUBLE") + _ASSIGNED,
+    "greedy_assign_categories": _walk(2, "0.0::DOUBLE") + _ASSIGNED,
+    "match_order": _PAIRS.replace(_kept(1, 0.2), _kept(2, 0.2)) + " SELECT row_number() OVER (ORDER BY target_rm_id, match_rank NULLS LAST) AS place, target_rm_id, match_rank FROM pt",
+    "drift_log": _DRIFT + """, k2 AS (SELECT max(abs(p - q)) AS statistic FROM (SELECT sum(a) OVER w / sum(a) OVER () AS p, sum(b) OVER w / sum(b) OVER () AS q FROM (SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT c_nationkey AS v, 1 AS a, 0 AS b FROM tr UNION ALL SELECT c_nationkey, 0, 1 FROM ct) GROUP BY v) WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))),
+gone AS (SELECT * FROM (SELECT id, g, ts, cs, x, strength, row_number() OVER (PARTITION BY g ORDER BY strength, id) AS k FROM gr JOIN ex USING (g) WHERE side = 0) WHERE k <= x AND (SELECT statistic FROM k2) > 0.01)
+SELECT 'c_nationkey' AS variable, 'ks' AS kind, g::VARCHAR AS "group", count(*) AS n_removed, round(any_value(ts), 6) AS target_share, round(any_value(cs), 6) AS control_share, string_agg(id::VARCHAR, ',' ORDER BY strength, id) AS control_rm_ids FROM gone GROUP BY g""",
+    "capacity_report": _matched() + f" SELECT row_number() OVER (ORDER BY assignment_shortfall DESC, stratum) AS place, stratum, assignment_shortfall FROM (SELECT stratum, {_CAP} FROM cn WHERE n_target > 0) ORDER BY place LIMIT 5",
+    "capacity_advice": _matched() + """, q AS (SELECT sum(n_target)::BIGINT AS t, greatest(0, 6 * sum(n_target) - sum(n_control)) AS lack, sum(greatest(0, 6 * n_target - n_control)) AS short FROM cn)
+SELECT 'control_pool' AS setting, 6 * t AS proposed_value, 'measured_global_counts' AS evidence FROM q WHERE lack > 0 UNION ALL SELECT 'n_bins', 2, 'untested_suggestion' FROM q WHERE short > 0 UNION ALL SELECT 'stratify_vars', NULL, 'untested_suggestion' FROM q WHERE short > 0""",
+    "sql_views": _BALANCED[: _BALANCED.rindex("SELECT variable")] + "SELECT st.stratum, count(DISTINCT st.id) AS n_target, count(k.cid) AS n_pairs FROM st LEFT JOIN (SELECT * FROM kept WHERE cid IN (SELECT id FROM af)) k ON k.tid = st.id WHERE t = 1 GROUP BY st.stratum",
+    "sources": f"WITH {CUSTOMERS} SELECT unnest(['csv', 'tsv', 'parquet', 'table', 'arrow', 'pandas', 'spark']) AS source, n, keys, balance, n_regions FROM (SELECT count(*) AS n, sum(c_custkey)::BIGINT AS keys, round(sum(c_acctbal), 2) AS balance, count(DISTINCT region) AS n_regions FROM c0)",
+    "latin1_source": f"WITH {CUSTOMERS} SELECT 'Übersee ' || region AS region, count(*) AS n_target FROM c0 WHERE is_target = 1 GROUP BY region",
+    "zstd_holdout": "SELECT side, count(*) AS n, min(k) AS first, max(k) AS last, sum(doc_id)::BIGINT AS ids FROM (SELECT CASE WHEN k <= n - 20 THEN 'train' ELSE 'held_out' END AS side, k, doc_id FROM (SELECT row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n, doc_id FROM labels)) GROUP BY side",
+    "downsample": _sample() + " SELECT row_number() OVER (ORDER BY id) AS place, event_id::BIGINT AS event_id, event_type FROM mk WHERE s = 1",
+    "downsample_report": _sample(37) + " SELECT (SELECT n FROM nn) AS n_population, 37::BIGINT AS requested_rows, sum(quota)::BIGINT AS sampled_rows, count(DISTINCT l) AS n_classes, (SELECT count(*) FROM cls WHERE quota = 0) AS omitted_classes, count(*) AS n_strata, count(*) FILTER (WHERE quota = 0) AS omitted_strata, 2 * (1 + count(DISTINCT l)) AS feature_checks, round(coalesce(sum(np) FILTER (WHERE quota = 0), 0) / (SELECT n FROM nn), 9) AS omitted_share FROM qt",
+    "downsample_export": _sample(120) + " SELECT event_id::BIGINT AS event_id, 120::BIGINT AS manifest_rows FROM mk WHERE s = 1",
+    "id_profile": " UNION ALL ".join(f"SELECT '{v}' AS variable, count(*) AS n, count(*) - count({v}) AS n_missing, count(DISTINCT {v}) AS n_different, min({v}) AS least, max({v}) AS most, count(DISTINCT {v}) = count(*) AS is_key FROM orders" for v in ("o_orderkey", "o_custkey")),
+    "plot_histogram": f"""WITH {CUSTOMERS}, b AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 10 AS w FROM c0), h AS (SELECT region, least(9, floor((c_acctbal - lo) / w))::INT AS bin, any_value(lo) AS lo, any_value(w) AS w, count(*) AS n FROM c0, b GROUP BY ALL)
+SELECT region AS "group", bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, n FROM h""",
+    "plot_ecdf": f"""WITH {CUSTOMERS}, b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM c0), p AS (SELECT CASE WHEN k = 10 THEN hi ELSE lo + (hi - lo) * k / 10 END AS v FROM b, range(11) r(k))
+SELECT region AS "group", round(v, 4) AS value, round(count(*) FILTER (WHERE c_acctbal <= v) / count(*), 9) AS share FROM c0, p GROUP BY region, v""",
     "greedy_assign_capped": _greedy(1, 3) + _ASSIGNED,
     "tolerance_cutoff": _kept(2, 0.8) + " SELECT round(c, 6) AS cutoff FROM cut",
     "tolerance_kept": _kept(2, 0.8) + " SELECT tid AS target_rm_id, cid AS control_rm_id, k AS match_rank, round(s, 6) AS match_strength FROM kept",

@@ -6,22 +6,27 @@ nation is monitored. Downsampling runs on events, with the event type as label.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.config import MatchConfig, SamplingConfig
 from counterpoise.functions.statistics import quantiles
 from counterpoise.operators import assign, balance, coverage, drift, output, sampling, scoring, strata, tolerance
-from counterpoise.operators.analysis import analysis_table, column_shares, feature_profile, group_means, seeded_draw, status_counts
+from counterpoise.operators.analysis import analysis_table, column_shares, ecdf, feature_profile, group_means, histogram, id_profile, seeded_draw, status_counts
 from counterpoise.operators.prepare import prepare
 from counterpoise.operators.profile import DataReport
 from counterpoise.plans.matching import ControlMatcher, Matched
 from counterpoise.plans.oracles import ORACLES
-from counterpoise.sources.prepared import tail_holdout
-from counterpoise.sources.scratch import Workspace, row_numbers
+from counterpoise.plans.sampling import random_downsample
+from counterpoise.sources.ingest import numbers_as_double, read, table_to_arrow
+from counterpoise.sources.prepared import cached_source, export_sample, read_headerless, tail_holdout, write_zstd
+from counterpoise.sources.scratch import row_numbers, workspace
 
 SEED = 42
 __all__ = ["ORACLES", "QUERIES"]
@@ -53,12 +58,13 @@ def numbered(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     return row_numbers(customers(spark, sf_dir, gaps), "_rm_id", ["c_custkey"])
 
 
-def prepared(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
-    return prepare(numbered(spark, sf_dir, gaps), "is_target", ["c_acctbal"], ["region"])
+def prepared(spark: SparkSession, sf_dir: str, gaps: bool = False, ids: bool = False) -> DataFrame:
+    """Prepared customers; ``ids``: with row numbers, which take a sort."""
+    return prepare((numbered if ids else customers)(spark, sf_dir, gaps), "is_target", ["c_acctbal"], ["region"])
 
 
-def stratified(spark: SparkSession, sf_dir: str, gaps: bool = False, n_bins: int = 4) -> tuple[DataFrame, dict[str, list[float]]]:
-    rows = prepared(spark, sf_dir, gaps)
+def stratified(spark: SparkSession, sf_dir: str, gaps: bool = False, n_bins: int = 4, ids: bool = False) -> tuple[DataFrame, dict[str, list[float]]]:
+    rows = prepared(spark, sf_dir, gaps, ids)
     edges = strata.target_edges(rows, ["c_acctbal"], n_bins)
     return strata.stratify(rows, edges, ["region"], ["c_acctbal"], n_bins), edges
 
@@ -84,7 +90,7 @@ class Scene:
 
 def scene(spark: SparkSession, sf_dir: str, **more) -> Scene:
     cfg = config(**more)
-    found = ControlMatcher(cfg)._match(numbered(spark, sf_dir), ["c_acctbal"], ["region"], Workspace(spark))
+    found = ControlMatcher(cfg)._match(numbered(spark, sf_dir), ["c_acctbal"], ["region"], workspace(spark))
     cutoff = tolerance.strength_cutoff(found.assignments, cfg.tolerance)
     return Scene(cfg, found, cutoff, tolerance.apply_tolerance(found.assignments, cutoff))
 
@@ -104,7 +110,7 @@ def profile_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def treatment_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepared(spark, sf_dir, True).select(F.col("_rm_id").alias("rm_id"), F.col("_treatment").alias("treatment"), "c_acctbal", "region", "c_custkey")
+    return prepared(spark, sf_dir, True, True).select(F.col("_rm_id").alias("rm_id"), F.col("_treatment").alias("treatment"), "c_acctbal", "region", "c_custkey")
 
 
 def missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +186,10 @@ def zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.round(z[0], 6).alias("z"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows, _ = stratified(spark, sf_dir)
-    x = scoring.point(["c_acctbal"], scoring.target_moments(rows, ["c_acctbal"]), {})
+def _sides(spark: SparkSession, sf_dir: str, x: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    rows, _ = stratified(spark, sf_dir, ids=True)
+    if x is None:
+        x = scoring.point(["c_acctbal"], scoring.target_moments(rows, ["c_acctbal"]), {})
     points = rows.select(F.col("_stratum").alias("stratum"), F.col("_rm_id").alias("id"), x.alias("x"), "_treatment")
     return points.where("_treatment = 1"), points.where("_treatment = 0")
 
@@ -193,12 +200,12 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = scoring.candidate_pairs(*_sides(spark, sf_dir), 1, 3)
+    pairs = assign.nearest(*_sides(spark, sf_dir), 3)
     return pairs.select("stratum", "target_rm_id", "control_rm_id", F.round("match_strength", 6).alias("match_strength"))
 
 
 def nearest_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = scoring.candidate_pairs(*_sides(spark, sf_dir), 1, 1)
+    pairs = assign.nearest(*_sides(spark, sf_dir), 1)
     return pairs.select("target_rm_id", "control_rm_id", F.round("match_strength", 6).alias("match_strength"))
 
 
@@ -222,6 +229,22 @@ def greedy_assign_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir, budget=0)
 
 
+def _assigned_with_ties(spark: SparkSession, sf_dir: str, x: Column) -> DataFrame:
+    t, c = _sides(spark, sf_dir, x)
+    got = assign.assign(t.drop("_treatment"), c.drop("_treatment"), counts(spark, sf_dir).where("n_target > 0 and n_control > 0"), 2, None, 0, 4)
+    return got.select("stratum", "target_rm_id", "control_rm_id", F.round("match_strength", 6).alias("match_strength"), "match_rank")
+
+
+def greedy_assign_rounds_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole thousands of balance: most pairs have as strong ones beside them. Four rounds at most."""
+    return _assigned_with_ties(spark, sf_dir, F.array(F.floor(F.col("c_acctbal") / 1000).cast("double")))
+
+
+def greedy_assign_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a number to tell rows apart all pairs of a stratum are equal: one round."""
+    return _assigned_with_ties(spark, sf_dir, F.array().cast("array<double>"))
+
+
 def greedy_assign_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir, max_candidates_per_target=3)
 
@@ -286,6 +309,80 @@ def drift_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.trim(s.targets(), s.controls(), "c_nationkey", "ks").select(F.col("_rm_id").alias("control_rm_id"), "group")
 
 
+def _run(spark: SparkSession, sf_dir: str, **more):
+    return ControlMatcher(config(**({"tolerance": 0.2} | more))).fit_match(customers(spark, sf_dir), order_by=["c_custkey"])
+
+
+def match_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of a run's pairs as they are published."""
+    result = _run(spark, sf_dir, n=2, ks_threshold=1.0, js_threshold=1.0)
+    rows = [(k, r["target_rm_id"], r["match_rank"]) for k, r in enumerate(result.pairs.select("target_rm_id", "match_rank").collect(), 1)]  # a report on bounded tables
+    result.close()
+    return spark.createDataFrame(rows, "place long, target_rm_id long, match_rank long")
+
+
+def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _run(spark, sf_dir, tolerance=0.8, ks_threshold=0.01)
+    rows = [(e["variable"], e["kind"], e["group"], e["n_removed"], round(e["target_share"], 6), round(e["control_share_before"], 6), ",".join(map(str, e["control_rm_ids"]))) for e in result.report.drift_log]
+    result.close()
+    return spark.createDataFrame(rows, "variable string, kind string, group string, n_removed long, target_share double, control_share double, control_rm_ids string")
+
+
+def capacity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strata that lack most controls, in order, up to a bound."""
+    report = ControlMatcher(config(n=4)).assess(customers(spark, sf_dir), max_report_strata=5)
+    return spark.createDataFrame([(k, r["stratum"], r["assignment_shortfall"]) for k, r in enumerate(report.strata, 1)], "place long, stratum string, assignment_shortfall long")
+
+
+def capacity_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = ControlMatcher(config(n=6)).assess(customers(spark, sf_dir))
+    return spark.createDataFrame([(r["setting"], r["proposed_value"], r["evidence"]) for r in report.recommendations], "setting string, proposed_value long, evidence string")
+
+
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's tables, asked by name in SQL."""
+    result = _run(spark, sf_dir)
+    result.create_views("cp_")
+    return spark.sql("SELECT p._stratum AS stratum, count(DISTINCT t.target_rm_id) AS n_target, count(t.control_rm_id) AS n_pairs FROM cp_pairs t JOIN cp_prepared p ON p._rm_id = t.target_rm_id GROUP BY p._stratum")
+
+
+# ---------------------------------------------------------------- sources
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through every reader: rows, sum of keys, and sum of balances as doubles."""
+    base = customers(spark, sf_dir).select("c_custkey", "c_acctbal", "region")
+    folder = f"{workspace(spark).path}/sources-{uuid.uuid4().hex[:8]}"
+    base.write.option("header", True).csv(f"{folder}/a.csv")
+    base.write.option("header", True).option("sep", "\t").csv(f"{folder}/a.tsv")
+    base.write.parquet(f"{folder}/a.parquet")
+    base.createOrReplaceTempView("cp_customers")
+    given = {"csv": f"{folder}/a.csv", "tsv": f"{folder}/a.tsv", "parquet": f"{folder}/a.parquet", "table": "cp_customers", "arrow": table_to_arrow(spark, "cp_customers"), "pandas": base.toPandas(), "spark": base}
+    one = lambda name, data: numbers_as_double(read(spark, data)).agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.sum("c_custkey").cast("long").alias("keys"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count_distinct("region").alias("n_regions"))
+    return reduce(DataFrame.unionByName, (one(name, data) for name, data in given.items()))
+
+
+def latin1_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text in another encoding than UTF-8, through a public entry point."""
+    folder = f"{workspace(spark).path}/latin-{uuid.uuid4().hex[:8]}/a.csv"
+    region = F.concat(F.lit("Übersee "), F.col("region"))
+    customers(spark, sf_dir).withColumn("region", region).write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
+    report = ControlMatcher(config()).assess(folder, encoding="ISO-8859-1")
+    rows = [(json.loads(r["group_values"])["region"], r["n_target"]) for r in report.strata]
+    return spark.createDataFrame(rows, "region string, n_target long").groupBy("region").agg(F.sum("n_target").alias("n_target"))
+
+
+def zstd_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compressed file without header, held out by its tail, written with zstd and read again."""
+    folder = f"{workspace(spark).path}/holdout-{uuid.uuid4().hex[:8]}"
+    table(spark, sf_dir, "labels").select("quality", "toxic", "doc_id").orderBy("doc_id").coalesce(1).write.option("compression", "gzip").csv(f"{folder}/in.csv.gz")
+    train, held = tail_holdout(read_headerless(spark, f"{folder}/in.csv.gz", ["quality", "toxic", "doc_id"]), 20, "quality")
+    for name, df in (("train", train), ("held_out", held)):
+        write_zstd(df, f"{folder}/{name}")
+    back = cached_source(spark, f"{folder}/train", lambda s, p: s.read.parquet(p), folder).withColumn("side", F.lit("train")).unionByName(spark.read.parquet(f"{folder}/held_out").withColumn("side", F.lit("held_out")))
+    return back.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("source_row_id").alias("first"), F.max("source_row_id").alias("last"), F.sum("doc_id").cast("long").alias("ids"))
+
+
 # ---------------------------------------------------------------- downsampling
 
 
@@ -309,7 +406,7 @@ def draw(spark: SparkSession, sf_dir: str, **more) -> Draw:
     source = row_numbers(events, sampling.ID, ["event_id"])
     n = source.count()
     pop = sampling.population(source, cfg, sampling.population_edges(source, cfg))
-    space = Workspace(spark)
+    space = workspace(spark)
     classes = space.store(sampling.class_quotas(pop, cfg, n), "classes")
     quotas = space.store(sampling.group_quotas(pop, classes, cfg), "quotas")
     chosen = space.store(sampling.select_ids(pop, quotas, cfg, n), "selected")
@@ -369,6 +466,37 @@ def sample_strata_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", "feature_group", "allocated_rows", "sampled_rows", F.round("population_share", 9).alias("population_share"), F.round("within_class_population_share", 9).alias("within_class_population_share"), F.round("within_class_sample_share", 9).alias("within_class_sample_share"))
 
 
+def _downsample(spark: SparkSession, sf_dir: str, **more):
+    c = sampling_config(**more)
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
+    return random_downsample(events, sample_size=c.sample_size, label_col=c.label_col, stratify_vars=c.stratify_vars, check_vars=c.check_vars, n_bins=c.n_bins, random_state=c.random_state, check_by_label=c.check_by_label, spark=spark, order_by=["event_id"])
+
+
+def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public call: the sample's rows, at the places they are published at."""
+    result = _downsample(spark, sf_dir)
+    rows = [(k, int(r["event_id"]), r["event_type"]) for k, r in enumerate(result.sample.select("event_id", "event_type").collect(), 1)]  # sample_size rows
+    result.close()
+    return spark.createDataFrame(rows, "place long, event_id long, event_type string")
+
+
+def downsample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _downsample(spark, sf_dir, sample_size=37)
+    names = ("n_population", "requested_rows", "sampled_rows", "n_classes", "omitted_classes", "n_strata", "omitted_strata", "feature_checks")
+    s = result.report.summary
+    result.close()
+    return spark.createDataFrame([tuple(int(s[k]) for k in names) + (round(s["omitted_stratum_population_share"], 9),)], ", ".join(f"{k} long" for k in names) + ", omitted_share double")
+
+
+def downsample_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported files, read again."""
+    result = _downsample(spark, sf_dir, sample_size=120)
+    at = export_sample(result, f"{workspace(spark).path}/export-{uuid.uuid4().hex[:8]}")
+    manifest = spark.read.option("multiLine", True).json(f"{at}/manifest.json").first()
+    result.close()
+    return spark.read.parquet(f"{at}/sample.parquet").select(F.col("event_id").cast("long").alias("event_id"), F.lit(manifest["rows"]).cast("long").alias("manifest_rows"))
+
+
 # ---------------------------------------------------------------- analysis
 
 
@@ -402,6 +530,20 @@ def feature_profile_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("variable", "n", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), F.round("mean", 6).alias("mean"), "n_not_finite")
 
 
+def id_profile_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [id_profile(table(spark, sf_dir, "orders"), c).select(F.lit(c).alias("variable"), "n", "n_missing", "n_different", "least", "most", "is_key") for c in ("o_orderkey", "o_custkey")]
+    return parts[0].unionByName(parts[1])
+
+
+def plot_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = histogram(customers(spark, sf_dir), "c_acctbal", 10, "region")
+    return rows.select("group", "bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
+
+
+def plot_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecdf(customers(spark, sf_dir), "c_acctbal", 10, "region").select("group", F.round("value", 4).alias("value"), F.round("share", 9).alias("share"))
+
+
 def tail_holdout_(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("double").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     train, held = tail_holdout(labels, 20, "quality", ["doc_id"])
@@ -419,6 +561,7 @@ _NAMED = (
     profile_summary, profile_nulls, treatment_prepare, missing_flags, bin_edges_target, bin_edges_population, bucketize, stratum_key, stratum_counts, coverage_flags, capacity_strata, capacity_summary, capacity_trials,
     grouping_cardinality, stratum_group_values, target_moments, zscores, pair_scores, topk_candidates, nearest_control, greedy_assign, greedy_assign_1to2, greedy_assign_rounds, greedy_assign_capped, tolerance_cutoff, tolerance_kept,
     match_pairs, match_targets, coverage_summary, balance_ks, balance_js, balance_table, drift_excess, drift_trim, sample_classes, sample_quotas, sample_rows, sample_simple, sample_full, sample_balance_overall,
-    sample_balance_within, sample_status, sample_strata_report, ab_group_means, ab_analysis_table, match_status_counts, ab_crosstab, feature_profile_, tail_holdout_, random_control_baseline,
+    sample_balance_within, sample_status, sample_strata_report, greedy_assign_rounds_ties, greedy_assign_categories, match_order, drift_log, capacity_report, capacity_advice, sql_views, sources, latin1_source, zstd_holdout,
+    downsample, downsample_report, downsample_export, id_profile_, plot_histogram, plot_ecdf, ab_group_means, ab_analysis_table, match_status_counts, ab_crosstab, feature_profile_, tail_holdout_, random_control_baseline,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__.rstrip("_"): f for f in _NAMED}

@@ -48,7 +48,7 @@ def random_downsample(
     data: Any, *, sample_size: int, label_col: str | None = None, stratify_vars: Sequence[str] = (), check_vars: Sequence[str] = (),
     n_bins: int = 4, random_state: int | None = None, ks_threshold: float = 0.05, js_threshold: float = 0.10, check_by_label: bool = False,
     duckdb_threads: int | None = None, max_report_rows: int = 1000, work_dir: str | None = None, keep_db: bool = False,
-    spark: SparkSession | None = None, order_by: Sequence[str] = (),
+    spark: SparkSession | None = None, order_by: Sequence[str] = (), encoding: str = "UTF-8",
 ) -> DownsampleResult:
     """Exactly ``sample_size`` different rows of ``data``, drawn without replacement.
 
@@ -58,24 +58,25 @@ def random_downsample(
     """
     cfg = SamplingConfig(sample_size, label_col, stratify_vars, check_vars, n_bins, random_state, ks_threshold, js_threshold, check_by_label, duckdb_threads, max_report_rows)
     spark = spark or SparkSession.active()
-    df = numbers_as_double(read(spark, data))
+    df = numbers_as_double(read(spark, data, encoding))
     ops.check_input(df, cfg)
     space = Workspace(spark, work_dir, keep_db)
     try:
-        source = row_numbers(df, ops.ID, list(order_by))
-        n = source.count()
-        if cfg.sample_size > n:
-            raise ValueError(f"sample_size ({cfg.sample_size}) exceeds population size ({n})")
-        edges = ops.population_edges(source, cfg)
-        pop = ops.population(source, cfg, edges)
-        classes = space.store(ops.class_quotas(pop, cfg, n), "classes")
-        quotas = space.store(ops.group_quotas(pop, classes, cfg), "quotas")
-        chosen = space.store(ops.select_ids(pop, quotas, cfg, n), "selected")
-        ops.check_selection(pop, quotas, chosen, cfg)
-        balance = space.store(ops.check_population_balance(pop, chosen, cfg, n), "balance")
-        report = _report(cfg, n, edges, classes, quotas, balance, pop, chosen)
-        sample = space.store(source.join(chosen, ops.ID, "left_semi"), "sample")
-        return DownsampleResult(sample.orderBy(ops.ID).select(*(col(c) for c in df.columns)), report, sample.select(ops.ID).orderBy(ops.ID), space)
+        with space:
+            source = row_numbers(df, ops.ID, list(order_by))
+            n = source.count()
+            if cfg.sample_size > n:
+                raise ValueError(f"sample_size ({cfg.sample_size}) exceeds population size ({n})")
+            edges = ops.population_edges(source, cfg)
+            pop = ops.population(source, cfg, edges)
+            classes = space.store(ops.class_quotas(pop, cfg, n), "classes")
+            quotas = space.store(ops.group_quotas(pop, classes, cfg), "quotas")
+            chosen = space.store(ops.select_ids(pop, quotas, cfg, n), "selected")
+            ops.check_selection(pop, quotas, chosen, cfg)
+            balance = space.store(ops.check_population_balance(pop, chosen, cfg, n), "balance")
+            report = _report(cfg, n, edges, classes, quotas, balance, pop, chosen)
+            sample = space.store(source.join(chosen, ops.ID, "left_semi"), "sample")
+            return DownsampleResult(sample.orderBy(ops.ID).select(*(col(c) for c in df.columns)), report, sample.select(ops.ID).orderBy(ops.ID), space)
     except BaseException:
         space.keep = False
         space.close()
