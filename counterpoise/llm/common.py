@@ -60,15 +60,16 @@ def discard(*tables: DataFrame) -> None:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), passing: bool = True) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of files and not a rerun of
     what made them, and several readers share one computation. The shuffle files of the write go with it.
+    Within ``passing_tables`` the table goes at the end, unless it is not ``passing``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if (made := _scope.get()) is not None:
+    if passing and (made := _scope.get()) is not None:
         made.append(path)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")

@@ -272,8 +272,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid
     known = firsts.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("root"))
     rows = worded.select("uid", "id", "digest").join(known, "digest").select("uid", "id", "root").unionByName(feats.where("digest is null").select("uid", "id", F.col("uid").alias("root")))
     rows = materialize(rows, "classes")
-    heads = rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size"))
-    out = rows.join(heads, "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size")
+    heads = materialize(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size")), "heads")
+    out = rows.join(small(heads), "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size")
     discard(feats, firsts)
     return out
 
