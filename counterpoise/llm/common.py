@@ -57,6 +57,19 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._stored_at)
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df`` with a note of the stored tables that it reads, so that ``settled`` can remove them."""
+    df._reads = tables
+    return df
+
+
+def settled(df: DataFrame, base: DataFrame, tag: str) -> DataFrame:
+    """``df``, which is made of ``base``, stored; what ``base`` reads goes."""
+    out = materialize(df, tag)
+    discard(*base._reads)
+    return out
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.llm.common import discard, fresh, is_small, materialize, q, small, with_row_ids
+from counterpoise.llm.common import discard, fresh, is_small, materialize, q, reading, settled, small, with_row_ids
 
 WINDOW = 10
 #: Places of one word that one run holds when words are exchanged.
@@ -115,7 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.collect_set(F.when(~whole, F.col("items"))).alias("items"),
     )
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["len"] - 1)))))
-    return by_text.select("uid", "id", F.col("n_words").cast("long").alias("n_words"), F.greatest(hit, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    found = by_text.select("uid", "id", F.col("n_words").cast("long").alias("n_words"), F.greatest(hit, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return reading(found, index)
 
 
 def document_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -129,5 +130,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     as ``contamination`` says. The rows are numbered once, in a stored table."""
     uid = fresh(docs, "_uid")["_uid"]
     rows = with_row_ids(docs, uid)
-    bad = contamination(rows, benchmark, uid_col=uid).where("n_hit > 0").select(F.col("uid").alias(uid))
-    return rows.join(small(materialize(bad, "leaks")), uid, "left_anti").select(*(q(c) for c in docs.columns))
+    base = contamination(rows, benchmark, uid_col=uid)
+    bad = settled(base.where("n_hit > 0").select(F.col("uid").alias(uid)), base, "leaks")
+    return rows.join(small(bad), uid, "left_anti").select(*(q(c) for c in docs.columns))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import discard, fresh, map_batches, materialize, q, slices, small, with_row_ids
+from counterpoise.llm.common import discard, fresh, map_batches, materialize, q, reading, settled, slices, small, with_row_ids
 from counterpoise.llm.shingles import GOLD, _power_tables, mix
 
 MIN_CHARS, SLICE = 20, 1 << 21
@@ -212,7 +212,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .unionByName(firsts.where("n > 1").select("uid", "id", F.lit(False).alias("text"), nothing.cast("int").alias("n"), F.col("line").alias("exact"), nothing.cast("int").alias("near")))
         .unionByName(near.select("uid", nothing.cast(docs.schema[id_col].dataType).alias("id"), F.lit(False).alias("text"), nothing.cast("int").alias("n"), nothing.cast("int").alias("exact"), F.col("line").alias("near")))
     )
-    return marked.groupBy("uid").agg(F.max(F.when(F.col("text"), F.col("id"))).alias("id"), F.max("n").alias("n_lines"), F.sort_array(F.collect_list("exact")).alias("exact"), F.sort_array(F.collect_list("near")).alias("near"))
+    found = marked.groupBy("uid").agg(F.max(F.when(F.col("text"), F.col("id"))).alias("id"), F.max("n").alias("n_lines"), F.sort_array(F.collect_list("exact")).alias("exact"), F.sort_array(F.collect_list("near")).alias("near"))
+    return reading(found, rows, firsts, near)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -233,7 +234,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     n = fresh(docs, "_uid", "_gone")
     rows = with_row_ids(docs, n["_uid"])
-    found = repeated_lines(rows, id_col, text_col, uid_col=n["_uid"]).select(F.col("uid").alias(n["_uid"]), F.concat("exact", "near").alias(n["_gone"])).where(F.size(n["_gone"]) > 0)
+    base = repeated_lines(rows, id_col, text_col, uid_col=n["_uid"])
+    found = settled(base.select(F.col("uid").alias(n["_uid"]), F.concat("exact", "near").alias(n["_gone"])).where(F.size(n["_gone"]) > 0), base, "repeats")
     joined = rows.join(found, n["_uid"], "left")
     gone, text = F.col(n["_gone"]), q(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")

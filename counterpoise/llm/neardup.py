@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import discard, fresh, map_batches, materialize, q, slices, small, with_row_ids
+from counterpoise.llm.common import discard, fresh, map_batches, materialize, q, reading, settled, slices, small, with_row_ids
 from counterpoise.llm.components import components
 from counterpoise.llm.shingles import GOLD, mix, shingle_hashes, word_hashes
 
@@ -275,7 +275,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid
     heads = materialize(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("class_size")), "heads")
     out = rows.join(small(heads), "root").select("uid", "id", F.col("f.id").alias("class_id"), (F.col("f.uid") == F.col("uid")).alias("kept"), "class_size")
     discard(feats, firsts)
-    return out
+    return reading(out, rows, heads)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -287,5 +287,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The first document of each class, with the columns of ``docs``; texts without a word all stay. The rows are numbered once, in a stored table."""
     uid = fresh(docs, "_uid")["_uid"]
     rows = with_row_ids(docs, uid)
-    gone = materialize(classes(rows, id_col, text_col, uid).where(~F.col("kept")).select(F.col("uid").alias(uid)), "copies")
+    base = classes(rows, id_col, text_col, uid)
+    gone = settled(base.where(~F.col("kept")).select(F.col("uid").alias(uid)), base, "copies")
     return rows.join(small(gone), uid, "left_anti").select(*(q(c) for c in docs.columns))
