@@ -29,6 +29,8 @@ from counterpoise.llm.common import fresh, map_batches, materialize, q, slices
 CAPACITY = 4096
 #: Steps of the search after which the incumbent is taken, with its distance from the bound.
 STEPS = 2_000
+#: Open branches that keep their place in the enumeration; others find it again when they are next.
+LIVE = 24
 END_ID = 1
 #: Entries a worker's token memo may hold before it sheds what it didn't use of late.
 MEMO = 450_000
@@ -290,14 +292,15 @@ class Completion:
         self.place = {x: k for k, x in enumerate(self.lengths)}
         self.used = self.waste = self.steps = 0
         self.path: Packing = []
-        self.frames: list[Iterator[tuple[tuple[int, ...], int]]] = []
+        # Of each open branch: its further options, or None, and the last one taken.
+        self.frames: list[list] = []
 
     def _spare(self) -> int:
         """The waste that may still come in a packing with fewer bins than the incumbent."""
         return (self.n_bins - 1) * self.capacity - self.total - self.waste
 
-    def _options(self) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Bins for the largest length left, and how often: all that a better packing may have."""
+    def _options(self, after: tuple[tuple[int, ...], int] | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Bins for the largest length left, and how often: all that a better packing may have, or those ``after`` one of them."""
         top = len(self.lengths) - 1
         while top >= 0 and not self.left[top]:
             top -= 1
@@ -316,6 +319,12 @@ class Completion:
             lost = self.capacity - sum(bin_)
             if lost > self._spare():  # the incumbent is better by now
                 return
+            if after is not None:
+                if bin_ == after[0]:
+                    if after[1] > 1:
+                        yield bin_, 1
+                    after = None
+                continue
             most = min(self.left[self.place[x]] // bin_.count(x) for x in {*bin_})
             if lost:
                 most = min(most, self._spare() // lost)
@@ -333,9 +342,12 @@ class Completion:
         """Search for up to ``steps`` more bins on trial, or to the end."""
         last = None if steps is None else self.steps + steps
         if not self.proved and not self.frames:
-            self.frames.append(self._options())
+            self.frames.append([None, None])
         while self.frames and self.n_bins > self.bound and (last is None or self.steps < last):
-            option = next(self.frames[-1], None)
+            frame = self.frames[-1]
+            if frame[0] is None:
+                frame[0] = self._options(frame[1])
+            option = next(frame[0], None)
             if option is None:
                 self.frames.pop()
                 if self.path:
@@ -343,9 +355,12 @@ class Completion:
                     self._move(undone, -times)
                 continue
             self.steps += 1
+            frame[1] = option
             self.path.append(option)
             self._move(*option)
-            self.frames.append(self._options())
+            self.frames.append([None, None])
+            if len(self.frames) > LIVE:
+                self.frames[-LIVE - 1][0] = None
         self.proved = self.n_bins <= self.bound or not self.frames
         return self.packing
 

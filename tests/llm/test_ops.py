@@ -189,7 +189,9 @@ def test_completion_is_optimal_on_small_cases():
         packing.complete({5: 1}, 4)
 
 
-def test_search_beats_best_fit_and_reaches_the_bound():
+@pytest.mark.parametrize("live", [1, packing.LIVE])
+def test_search_beats_best_fit_and_reaches_the_bound(live, monkeypatch):
+    monkeypatch.setattr(packing, "LIVE", live)
     r = random.Random(2)
     items = [r.randint(400, 2200) for _ in range(300)]
     counts = {x: items.count(x) for x in items}
