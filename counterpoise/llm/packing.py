@@ -33,7 +33,7 @@ STEPS = 2_000
 LIVE = 24
 END_ID = 1
 #: Entries a worker's token memo may hold before it sheds what it didn't use of late.
-MEMO = 450_000
+MEMO = 200_000
 MARKS = ".,;:!?"
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -56,6 +56,7 @@ class TokenMemo(dict):
     characters that Python takes for white space and the tokenizer doesn't, and texts with a special
     token's string, go through the tokenizer whole. Texts of plain Latin letters are lower-cased
     first, as the tokenizer would do. When the memo is full, what was used since the last time stays.
+    Words with marks behind them are put together anew in each call and not kept beside the words.
     """
 
     def __init__(self, path: str):
@@ -85,7 +86,8 @@ class TokenMemo(dict):
         tokens = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.as_bytes))
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def learn(self, parts: set[str]) -> None:
+    def learn(self, parts: set[str]) -> list[str]:
+        """Make the ids of ``parts`` known; gives those that need not be kept."""
         missing = {p for p in parts if p not in self}
         if len(self) + len(missing) > MEMO:
             self.old = dict(self)
@@ -116,11 +118,15 @@ class TokenMemo(dict):
                 self[part] = array("I", got.ids).tobytes()
         for part, stem, tail in split:
             self[part] = self[stem] + self[tail]
+        return [part for part, _, _ in split]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in t for c in CONTROLS) or any(s in t for s in self.specials) else (t.lower() if self.plain(t) else t).split() for t in texts]
-        self.learn({w for words in split if words for w in words})
-        return [self.whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        passing = self.learn({w for words in split if words for w in words})
+        out = [self.whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        for part in passing:
+            del self[part]
+        return out
 
 
 @lru_cache(maxsize=4)
