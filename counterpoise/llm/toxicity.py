@@ -97,7 +97,9 @@ class WordMemo(dict):
             words = [letters(p) for p in run]
             got = self.net.rows(words) if any(words) else self.table[:0]
             while self.held + len(got) > len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+                more = np.zeros((2 * len(self.table), self.table.shape[1]), np.float32)  # pages that nothing is written to take no memory
+                more[: self.held] = self.table[: self.held]
+                self.table = more
             self.table[self.held : self.held + len(got)] = got
             at = self.held
             for part, w in zip(run, words, strict=True):
@@ -317,7 +319,7 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text", names: t
         net = shared.value
         memo = WordMemo(net) if net is not None else None
         for batch in batches:
-            for begin, texts in slices(batch.column(at), 1 << 19):
+            for begin, texts in slices(batch.column(at), 1 << 18):
                 s = net.judge(*memo.logits(texts)).astype(np.float64) if memo is not None else np.zeros(len(texts))
                 part = batch.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=schema.names)
