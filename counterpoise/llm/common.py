@@ -115,10 +115,28 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows in this session; memory is given back after each task."""
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """What a worker keeps for its next tasks, made when it is first asked for."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go(but: str | None) -> None:
+    """Drop what tasks of other operators kept in this worker."""
+    for key in [k for k in _kept if k != but]:
+        del _kept[key]
+
+
+def map_batches(df: DataFrame, run, schema, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows in this session; memory is given back after each task,
+    but for what ``run`` has ``kept`` under the key ``keeps``."""
 
     def tidy(batches):
+        let_go(keeps)
         try:
             yield from run(batches)
         finally:

@@ -17,14 +17,13 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from counterpoise.llm.common import fresh, map_batches, materialize, q, slices
+from counterpoise.llm.common import fresh, kept, map_batches, materialize, q, slices
 
 CAPACITY = 4096
 #: Steps of the search after which the incumbent is taken, with its distance from the bound.
@@ -129,12 +128,11 @@ class TokenMemo(dict):
         return out
 
 
-@lru_cache(maxsize=4)
 def token_memo(path: str) -> TokenMemo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return TokenMemo(path)
+    return kept(path, lambda: TokenMemo(path))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int | None = END_ID, with_ids: bool = False) -> DataFrame:
@@ -167,7 +165,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text_col: str = "text", keep: tu
                 kept_rows = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept_rows, *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(piece, pa.int32()), *([pa.array(ids, pa.binary())] * with_ids)], names=schema.names)
 
-    return map_batches(source, run, schema)
+    return map_batches(source, run, schema, keeps=tokenizer)
 
 
 # ---------------------------------------------------------------- bin completion
