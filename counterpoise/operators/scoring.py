@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterpoise.functions.columns import col
 
 
+#: Row numbers whose values are added up by one task, in their order.
+RUN = 1 << 20
+
+
 def target_moments(prepared: DataFrame, numeric: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population standard deviation of the treated rows' imputed values; a deviation of 0 counts as 1."""
+    """Mean and population standard deviation of the treated rows' imputed values; a deviation of 0 counts as 1.
+
+    Numbered rows are added up in order of ``_rm_id``: the last bits of the moments decide between controls at equal distances
+    on both sides of a target, and must not follow how the rows are dealt among tasks.
+    """
     if not numeric:
         return {}
-    row = prepared.where("_treatment = 1").agg(*(f(col(v)).alias(f"{k}{i}") for i, v in enumerate(numeric) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    treated = prepared.where("_treatment = 1")
+    if "_rm_id" in prepared.columns:
+        return _moments_in_order(treated, numeric)
+    row = treated.agg(*(f(col(v)).alias(f"{k}{i}") for i, v in enumerate(numeric) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     return {v: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, v in enumerate(numeric)}
 
 
+def _moments_in_order(treated: DataFrame, numeric: Sequence[str]) -> dict[str, tuple[float, float]]:
+    values = treated.select(F.floor((F.col("_rm_id") - 1) / RUN).alias("run"), F.col("_rm_id").alias("id"), *(col(v).cast("double").alias(f"v{i}") for i, v in enumerate(numeric)))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        out = []
+        for i in range(len(numeric)):
+            total = mean = m2 = 0.0
+            for k, x in enumerate(rows[f"v{i}"].to_pylist(), 1):
+                total += x
+                before, mean = mean, mean + (x - mean) / k
+                m2 += (x - mean) * (x - before)
+            out.append((key[0].as_py(), i, rows.num_rows, total, mean, m2))
+        return pa.table(dict(zip(("run", "i", "n", "total", "mean", "m2"), map(list, zip(*out, strict=True)), strict=True)), pa.schema([("run", pa.int64()), ("i", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("mean", pa.float64()), ("m2", pa.float64())]))
+
+    parts = sorted(values.groupBy("run").applyInArrow(run, "run long, i int, n long, total double, mean double, m2 double").collect())  # one row for each run and variable
+    out = dict.fromkeys(numeric, (0.0, 1.0))
+    for i, v in enumerate(numeric):
+        n = total = mean = m2 = 0
+        for p in (p for p in parts if p.i == i):
+            both, apart = n + p.n, p.mean - mean
+            m2 = m2 + p.m2 + apart * apart * n * p.n / both if n else p.m2
+            n, total, mean = both, total + p.total, mean + apart * p.n / both if n else p.mean
+        if n:
+            out[v] = total / n, math.sqrt(m2 / n) or 1.0
+    return out
+
+
 def point(numeric: Sequence[str], moments: Mapping[str, tuple[float, float]], weights: Mapping[str, float]) -> Column:
     """A row's weighted standardised values, as an array."""
     if not numeric:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterpoise import ControlMatcher, DataReport, InsufficientControlPoolWarning, InsufficientStratumCapacityWarning, MatchConfig
-from counterpoise.operators import assign, balance, coverage, drift, output, strata, tolerance
+from counterpoise.operators import assign, balance, coverage, drift, output, scoring, strata, tolerance
 from counterpoise.operators.prepare import prepare
 from counterpoise.sources.ingest import numbers_as_double, read, table_to_arrow
 from counterpoise.sources.scratch import row_numbers
@@ -53,6 +53,20 @@ def test_both_assignments_equal_the_walk(spark, n, most, ties, monkeypatch):
         assert all(1 <= r.match_rank <= n for r in got)
 
 
+def test_moments_follow_the_row_numbers_and_not_the_partitions(spark):
+    values = np.round(np.random.default_rng(5).normal(4000, 3000, 3001), 2).tolist()
+    rows = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values, 1)] + [(5000, 0, 1.0)], "_rm_id long, _treatment int, x double")
+    total = mean = m2 = 0.0
+    for k, v in enumerate(values, 1):
+        total += v
+        before, mean = mean, mean + (v - mean) / k
+        m2 += (v - mean) * (v - before)
+    want = {"x": (total / len(values), math.sqrt(m2 / len(values)))}
+    for n in (1, 3, 8):
+        assert scoring.target_moments(rows.repartition(n, F.xxhash64("x")), ["x"]) == want
+    assert scoring.target_moments(rows.where("_rm_id > 4000"), ["x"]) == {"x": (0.0, 1.0)}
+
+
 def test_run_has_every_target_once_and_no_control_twice(spark):
     df = frame()
     cfg = MatchConfig(["income", "age", "region"], "is_target", ["tenure"], tolerance=0.2, id_col="id", n=2)
