@@ -5,7 +5,7 @@ recall propose further spans in what the base spans leave: obfuscated addresses,
 phones without a plus, IPv6, and secrets (long runs of letters and digits). Proposals of different kinds overlap.
 
 Gradient-boosted trees judge a proposal by its format and its context. They learn from planted spans: values
-in the formats of ``FORMS``, put between words of a bounded sample of documents, those of personal data
+in the formats of ``_forms``, put between words of every document, those of personal data
 as examples and those of dates, versions, titles and the like as counterexamples; further counterexamples are
 what the generators propose in the documents themselves, but for what stands behind a word for a secret. For each kind a
 threshold is calibrated on documents that did not teach; proposals above it are added.
@@ -16,6 +16,7 @@ document is judged where it is read and nothing is exchanged.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -48,9 +49,9 @@ CUES = r"tel|phon|call|fax|mobil|mail|contact|card|visa|account|iban|ip|server|h
 #: Words that stand before a secret.
 SECRET = r"token|secret|passw|pwd|api.?key|access.?key|credential|bearer|auth"
 NEAR = 24
-#: Bounds of the training sample, planted spans for each of its documents, the precision that a threshold must have
+#: Planted spans for each document, size of the ensemble, the precision that a threshold must have
 #: shown, and how many of the calibrating spans must stand above it.
-SAMPLE_DOCS, PLANTED, TREES, DEPTH, PRECISION, LEAST = 20_000, 4, 10, 4, 0.98, 5
+PLANTED, TREES, DEPTH, PRECISION, LEAST = 4, 10, 4, 0.98, 5
 #: Matches that one step of the sums over them takes.
 BLOCK = 64
 #: A character that no pattern matches, and one that parts matches from what is between them.
@@ -325,29 +326,33 @@ class Redactor:
         return F.when(F.size(good) > 1, let(good, best)).otherwise(good)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Redactor:
-    """Fit on about ``sample_docs`` documents, dealt by a hash of id and text; a fifth of them calibrates the thresholds."""
-    n = docs.count()
-    if not n:
-        return Redactor(None, {})
-    text = F.coalesce(q(text_col), F.lit(""))
-    of = lambda tag: F.xxhash64(F.col("id").cast("string"), F.lit(tag))
-    rows = docs.select(q(id_col).alias("id"), unmarked(text).alias("text")).where(F.pmod(of("pii"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / n)))
-    rows = materialize(rows.withColumn("fold", F.pmod(F.xxhash64("id", "text", F.lit("check")), F.lit(5))), "pii-sample")
+def training_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Features and label of the proposals in all documents and of the spans planted in all. A fifth of the documents is fold 0."""
+    rows = docs.select(q(id_col).alias("id"), unmarked(F.coalesce(q(text_col), F.lit(""))).alias("text"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("id", "text", F.lit("check")), F.lit(5)))
     rest = rows.select("fold", _rest(rows, "text").alias("text"))
     told = F.col("s.before").rlike(f"(?i)(?:{SECRET})[^A-Za-z0-9]{{0,6}}$")
     natural = rest.select("fold", F.explode(proposals(F.col("text"))).alias("s")).where(~told).select("fold", *(F.col(f"s.{c}").alias(c) for c in ("kind", "value", "before", "after")), F.lit(0.0).alias("label"))
     spans = natural.unionByName(_planted(rows))
     f = features(F.col("kind"), F.col("value"), F.col("before"), F.col("after"))
-    seen = materialize(spans.select("fold", F.col("kind").alias("of"), "label", *(f[name].alias(name) for name in FEATURES)), "pii-spans")
+    return spans.select("fold", F.col("kind").alias("of"), "label", *(f[name].alias(name) for name in FEATURES))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Redactor:
+    """Fit on all documents: four fifths, dealt by a hash of id and text, teach the trees, and the others calibrate the thresholds."""
+    seen = materialize(training_spans(docs, id_col, text_col), "pii-spans")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
     teach = vectors.where("fold <> 0")
-    if teach.agg(F.count_distinct("label")).first()[0] < 2:
+    labels, n = teach.agg(F.count_distinct("label"), F.count(F.lit(1))).first()
+    if labels < 2:
+        discard(seen)
         return Redactor(None, {})
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, labelCol="label", featuresCol="features", maxBins=64).fit(teach)
+    # Spark draws the rows that give candidate splits, unless the square of the bins is as many: then it takes all.
+    bins = min(max(64, math.isqrt(n) + 1), 46_340)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, labelCol="label", featuresCol="features", maxBins=bins).fit(teach)
     redactor = Redactor(model, {})
     scored = seen.where("fold = 0").select("of", "label", F.floor(redactor.score(F.struct(*FEATURES)) * 1000).alias("p")).groupBy("of", "p").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).collect()  # at most 1001 scores of each kind
-    discard(rows, seen)
+    discard(seen)
     for k, kind in enumerate(ALL):
         hits = total = 0
         for p, h, m in sorted(((r["p"], r["hits"], r["n"]) for r in scored if r["of"] == k), reverse=True):

@@ -667,6 +667,24 @@ def test_base_spans_equal_brute_force(spark, texts):
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(w.startswith(k + ":") for w in want) for k in PATTERNS]
 
 
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    """The stored training spans hold those of every document, also beyond 20,000."""
+    class Seen(Exception):
+        pass
+
+    def stop(df, tag):
+        if tag == "pii-spans":
+            raise Seen(df.where("label = 0 and `of` = 1").count(), df.count())
+        return df
+
+    monkeypatch.setattr(pii, "materialize", stop)
+    d = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("seen fe80:1:2:3 once").alias("text"))
+    with pytest.raises(Seen) as seen:
+        pii.learn(d)
+    addresses, spans = seen.value.args
+    assert addresses >= 21_000 and spans == 21_000 * (1 + pii.PLANTED)
+
+
 def test_pii_of_odd_rows(spark):
     d = odd_docs(spark)
     assert pii.document_pii(d).count() == d.count() and pii.document_pii(empty_docs(spark)).count() == 0
