@@ -236,7 +236,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = with_row_ids(docs, n["_uid"])
     base = repeated_lines(rows, id_col, text_col, uid_col=n["_uid"])
     found = settled(base.select(F.col("uid").alias(n["_uid"]), F.concat("exact", "near").alias(n["_gone"])).where(F.size(n["_gone"]) > 0), base, "repeats")
-    joined = rows.join(found, n["_uid"], "left")
+    joined = rows.join(found.hint("merge"), n["_uid"], "left")  # texts are exchanged at any size, so that disk is in proportion to them
     gone, text = F.col(n["_gone"]), q(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     out = joined.withColumn(text_col, F.when(gone.isNull(), text).otherwise(kept))

@@ -735,6 +735,15 @@ def test_slices_keep_whole_texts():
     assert [x for _, run in got for x in run] == [x or "" for x in t] and [b for b, _ in got] == [0, 3]
 
 
+def test_line_dedup_exchanges_texts_at_any_size(spark):
+    """The plan, and with it the share of disk, is that of large tables for small ones too."""
+    rows = [(k, "a line that stands in every document here" + "\nanother long line of its own, " + "abcdefgh"[k] * 30, "en", "s", 9) for k in range(8)]
+    out = lines.drop_repeated_lines(spark.createDataFrame(rows, DOC))
+    assert sorted(len(r.text.split("\n")) for r in out.collect()) == [1] * 7 + [2]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pipeline_on_planted_rows(spark, tmp_path):
     import corpus_pipeline
 
