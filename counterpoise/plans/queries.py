@@ -196,7 +196,9 @@ def _sides(spark: SparkSession, sf_dir: str, x: Column | None = None) -> tuple[D
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scoring.candidate_pairs(*_sides(spark, sf_dir), 1)
-    return pairs.select("stratum", "target_rm_id", "control_rm_id", F.round("match_strength", 6).alias("match_strength"))
+    millionths = F.col("match_strength") * 1e6  # F.round takes a BigDecimal for each of the many rows
+    whole = F.floor(millionths)
+    return pairs.select("stratum", "target_rm_id", "control_rm_id", ((whole + (millionths - whole >= 0.5).cast("long")) / 1e6).alias("match_strength"))
 
 
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,23 @@ def test_moments_follow_the_row_numbers_and_not_the_partitions(spark):
     assert scoring.target_moments(rows.where("_rm_id > 4000"), ["x"]) == {"x": (0.0, 1.0)}
 
 
+def test_all_pairs_come_in_many_tasks_with_equal_strengths_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SIDE", 16, raising=False)
+    r = np.random.default_rng(3)
+    points = {"t": r.normal(size=(6, 2)), "c": r.normal(size=(9, 2))}
+    sides = {name: [("a", i, x[k].tolist()) for i, k in enumerate(r.permutation(np.repeat(np.arange(len(x)), 10)).tolist(), 1000 if name == "c" else 0)] for name, x in points.items()}
+    sides["t"] += [("b", 500, [0.0, 0.0]), ("d", 501, [1.0, 0.0])]
+    sides["c"] += [("c", 5000, [0.0, 0.0]), ("d", 5001, [0.0, 0.0])]
+    t, c = (spark.createDataFrame(sides[name], "stratum string, id long, x array<double>").coalesce(1) for name in "tc")
+    got = scoring.candidate_pairs(t, c, 2).withColumn("task", F.spark_partition_id()).collect()
+    want = [(s, i, j, round(math.exp(-math.dist(x, y)), 9)) for s, i, x in sides["t"] for z, j, y in sides["c"] if s == z]
+    assert sorted((r.stratum, r.target_rm_id, r.control_rm_id, round(r.match_strength, 9)) for r in got) == sorted(want)
+    assert len({r.task for r in got}) > 4
+    assert sum(a.match_strength != b.match_strength for a, b in zip(got, got[1:], strict=False)) < len(got) / 4
+    best = scoring.candidate_pairs(t, c, 2, 1).collect()
+    assert sorted((r.target_rm_id, r.control_rm_id) for r in best) == sorted((i, max((x for x in want if x[1] == i), key=lambda x: (x[3], -x[2]))[2]) for s, i, _ in sides["t"] if s != "b")
+
+
 def test_run_has_every_target_once_and_no_control_twice(spark):
     df = frame()
     cfg = MatchConfig(["income", "age", "region"], "is_target", ["tenure"], tolerance=0.2, id_col="id", n=2)
